@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from supplyplan.functions.calendar import iso_monday, plan_week, plan_week_of, week_dates
 from supplyplan.plans.scope import VarianceFilter, resolve
-from supplyplan.plans.spine import load_plan, plan_totals, sum_measures, with_items
+from supplyplan.plans.spine import load_plan, plan_totals, sum_measures
 from supplyplan.tables import Tables
 
 # report column -> measure
@@ -23,10 +23,7 @@ _COLUMNS = {
 def _week_report(t: Tables, f: VarianceFilter, snapshot: int, dates: tuple[date, date], day: Column) -> DataFrame:
     plan = load_plan(t, resolve(t, f, week=snapshot, dates=dates))
     sums = plan_totals(plan).withColumns({"week": plan_week(day), "forecast_date": iso_monday(day)})
-    keys = ["product", "week", "forecast_date"]
-    by_product = sum_measures(sums.drop("week_id", "demand_date", "plan_rows"), keys)
-    # the product is among the grouping columns, so item rows only multiply
-    return with_items(plan, by_product).select(
+    return sum_measures(sums, ["product", "week", "forecast_date"]).select(
         "product", F.col("week").alias("week_id"), "forecast_date",
         *[F.col(m).alias(c) for c, m in _COLUMNS.items()],
     ).orderBy(F.col("product").asc_nulls_last(), F.col("forecast_date").asc_nulls_last())

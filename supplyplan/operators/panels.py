@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplyplan.functions.quantities import total_commit, total_forecast, variance
+from supplyplan.functions.quantities import total_commit, total_forecast
 from supplyplan.plans.scope import Scope, owned_items, planned_items, vendor_keys
 from supplyplan.plans.skew import lookup_join
-from supplyplan.plans.spine import Plan, load_plan, plan_rows, plan_totals, sum_measures, with_items
+from supplyplan.plans.spine import Plan, load_plan, plan_rows, plan_totals, sum_measures
 from supplyplan.tables import Tables
 
 PLANNER, MANUFACTURER = "PLNR", "CM"
@@ -31,7 +31,14 @@ def login_scope(t: Tables, role: str, login: int) -> Scope:
 
 
 def _sums(plan: Plan, role: str) -> DataFrame:
-    return plan_totals(plan, by_supplier=role == PLANNER)
+    """Plan sums as the panels need them: by supplier for planners, by planner code for others."""
+    if role == PLANNER:
+        return plan_totals(plan, by_supplier=True, collapse=True)
+    return plan_totals(plan, attributes=["planner_code"], collapse=True)
+
+
+def _total_forecast() -> Column:
+    return F.col("forecast") + F.col("adjustment")
 
 
 def exceptions_by_counterparty(t: Tables, role: str, login: int, plan: Plan | None = None,
@@ -40,20 +47,20 @@ def exceptions_by_counterparty(t: Tables, role: str, login: int, plan: Plan | No
     plan = plan or load_plan(t, login_scope(t, role, login))
     sums = sums or _sums(plan, role)
     if role == PLANNER:
-        sums = sum_measures(with_items(plan, sums), ["supplier_key"])
+        sums = sum_measures(sums, ["supplier_key"])
         names = (t.suppliers.where(F.col("vendor_name").isNotNull())
                  .groupBy(F.upper("vendor_name").alias("supplier_key"),
                           F.col("vendor_id").cast("string").alias("code"), F.col("vendor_name").alias("name"))
                  .agg(F.count(F.lit(1)).alias("copies")))
         named = sums.join(names, "supplier_key")
     else:
-        sums = sum_measures(with_items(plan, sums, ["planner_code"]), ["planner_code"])
+        sums = sum_measures(sums, ["planner_code"])
         # planner codes repeat per organization, and each repetition counts
         names = (t.planners.groupBy("planner_code", F.col("description").alias("name"))
                  .agg(F.count(F.lit(1)).alias("copies")))
         named = sums.join(names, "planner_code").withColumn("code", F.col("planner_code"))
     return named.select("code", "name", (F.col("plan_rows") * F.col("copies")).alias("no_of_exceptions"),
-                        (variance() * F.col("copies")).alias("exception_quantity"))
+                        ((_total_forecast() - F.col("commit")) * F.col("copies")).alias("exception_quantity"))
 
 
 def forecast_vs_commit(t: Tables, role: str, login: int, plan: Plan | None = None) -> DataFrame:
@@ -66,10 +73,10 @@ def forecast_commit_receive(t: Tables, role: str, login: int, k: int = 5, plan:
                             sums: DataFrame | None = None) -> DataFrame:
     """Totals of the `k` earliest demand dates; nothing is ever recorded as received."""
     plan = plan or load_plan(t, login_scope(t, role, login))
-    sums = sum_measures(with_items(plan, sums or plan_totals(plan)), ["demand_date"])
+    sums = sum_measures(sums or plan_totals(plan, collapse=True), ["demand_date"])
     return sums.select(
         F.lit("WEEK").alias("view"), F.col("demand_date").alias("forecast_date"),
-        total_forecast().alias("total_forecast"), total_commit().alias("total_commit"),
+        _total_forecast().alias("total_forecast"), F.col("commit").alias("total_commit"),
         F.lit(0).cast("long").alias("total_received"),
     ).orderBy(F.col("forecast_date").asc_nulls_last()).limit(k)
 

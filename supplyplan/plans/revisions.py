@@ -7,7 +7,7 @@ current only where no revision of the key has one.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,26 +40,25 @@ def revisions(log: DataFrame, quantities: Mapping[str, str], labels: Sequence[st
 def latest(revs: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
     """Current revisions.
 
-    One shuffle by key: the rank keeps a map-side group limit, so superseded revisions
-    are mostly dropped before it. Heavy keys (at most as many as `hot` names) go another
-    way: their greatest date is aggregated with map-side combine and joined back by
-    broadcast, so their rows are neither shuffled nor gathered.
+    One shuffle by key, which the left join with the forecast uses again. Heavy keys (at
+    most as many as `hot` names) go another way: their greatest date is aggregated with
+    map-side combine and joined back by broadcast, so their rows are neither shuffled nor
+    gathered.
     """
-    newest = Window.partitionBy(*KEYS).orderBy(F.col("creation_date").desc_nulls_last())
+    newest = F.max("creation_date").over(Window.partitionBy(*KEYS))
 
-    def ranked(df: DataFrame) -> DataFrame:
-        return df.withColumn("_rank", F.rank().over(newest)).where("_rank = 1").drop("_rank", "creation_date")
+    def current(df: DataFrame) -> DataFrame:
+        return df.where(F.col("creation_date").eqNullSafe(F.col("_newest"))).drop("_newest", "creation_date")
 
     if not hot:
-        return ranked(revs)
+        return current(revs.withColumn("_newest", newest))
     heavy = revs.where(is_hot(KEYS, hot))
     stamps = heavy.groupBy(*KEYS).agg(F.max("creation_date").alias("_newest"))
-    current = (heavy.join(F.broadcast(stamps), list(KEYS))
-               .where(F.col("creation_date").eqNullSafe(F.col("_newest"))).drop("_newest", "creation_date"))
-    return ranked(revs.where(~is_hot(KEYS, hot))).unionByName(current)
+    rest = revs.where(~is_hot(KEYS, hot)).withColumn("_newest", newest)
+    return current(rest).unionByName(current(heavy.join(F.broadcast(stamps), list(KEYS))).select(*current(rest).columns))
 
 
-def totals(current: DataFrame, quantities: Mapping[str, str], count: str, labels: Sequence[str] = ()) -> DataFrame:
+def totals(current: DataFrame, measures: Iterable[str], count: str, labels: Sequence[str] = ()) -> DataFrame:
     """Number and quantity sums of the current revisions per key (and label)."""
     return current.groupBy(*KEYS, *labels).agg(
-        F.count(F.lit(1)).alias(count), *[F.sum(m).alias(m) for m in quantities])
+        F.count(F.lit(1)).alias(count), *[F.sum(m).alias(m) for m in measures])

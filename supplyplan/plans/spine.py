@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,40 +89,45 @@ def load_plan(t: Tables, scope: Scope, rows: bool = False) -> Plan:
     return Plan(fc, commits, adjustments, scope.items, sizes, tuning, hot)
 
 
-def plan_totals(plan: Plan, by_supplier: bool = False, labels: Sequence[str] = ()) -> DataFrame:
-    """Sums of the joined plan per key, before items.
+def _collapsed(df: DataFrame, buckets: Sequence[str], name: str, keep: Sequence[str]) -> DataFrame:
+    return df.select(*keep, reduce(add, (F.col(b) for b in buckets)).alias(name))
 
-    Columns: the key, supplier_key if asked for, the labels if asked for (either the
-    commit or the adjustment labels), `plan_rows` (rows of the joined plan) and the sum
-    of every measure over those rows.
+
+def plan_totals(plan: Plan, by_supplier: bool = False, labels: Sequence[str] = (), attributes: Sequence[str] = (),
+                collapse: bool = False) -> DataFrame:
+    """Sums of the joined plan per key and, where asked for, supplier, label and item attributes.
+
+    Columns: the key, supplier_key, the labels (either those of commits or those of
+    adjustments), the item attributes, `plan_rows` (rows of the joined plan) and the sum
+    of every measure over those rows. With `collapse` the three buckets of each side are
+    added up before anything else and only `forecast`, `commit` and `adjustment` remain.
     """
     extra = ["supplier_key"] if by_supplier else []
-    f = plan.forecast.groupBy(*KEYS, *extra).agg(
-        F.count(F.lit(1)).alias("f_rows"), *[F.sum(m).alias(m) for m in FORECAST])
-    c = totals(latest(plan.commits, plan.hot.get("commits")), COMMITS, "c_rows",
-               [x for x in labels if x in COMMIT_LABELS])
-    a = totals(latest(plan.adjustments, plan.hot.get("adjustments")), ADJUSTMENTS, "a_rows",
+    forecast, commits, adjustments = plan.forecast, plan.commits, plan.adjustments
+    in_f, in_c, in_a = list(FORECAST), list(COMMITS), list(ADJUSTMENTS)
+    if collapse:
+        forecast = _collapsed(forecast, in_f[:3], "forecast", [*KEYS, *extra])
+        commits = _collapsed(commits, in_c, "commit", [*KEYS, "creation_date", *COMMIT_LABELS])
+        adjustments = _collapsed(adjustments, in_a, "adjustment", [*KEYS, "creation_date", *ADJUSTMENT_LABELS])
+        in_f, in_c, in_a = ["forecast"], ["commit"], ["adjustment"]
+    f = forecast.groupBy(*KEYS, *extra).agg(
+        F.count(F.lit(1)).alias("f_rows"), *[F.sum(m).alias(m) for m in in_f])
+    c = totals(latest(commits, plan.hot.get("commits")), in_c, "c_rows", [x for x in labels if x in COMMIT_LABELS])
+    a = totals(latest(adjustments, plan.hot.get("adjustments")), in_a, "a_rows",
                [x for x in labels if x in ADJUSTMENT_LABELS])
-    joined = f.join(c, list(KEYS), "left").join(a, list(KEYS), "left")
-    # a side without a match still contributes one (empty) row to the product
-    n_f, n_c, n_a = F.col("f_rows"), F.coalesce("c_rows", F.lit(1)), F.coalesce("a_rows", F.lit(1))
-    return joined.select(
-        *KEYS, *extra, *labels, (n_f * n_c * n_a).alias("plan_rows"),
-        *[(F.col(m) * (n_c * n_a)).alias(m) for m in FORECAST],
-        *[(nz(m) * (n_f * n_a)).alias(m) for m in COMMITS],
-        *[(nz(m) * (n_f * n_c)).alias(m) for m in ADJUSTMENTS])
-
-
-def with_items(plan: Plan, sums: DataFrame, attributes: Sequence[str] = ()) -> DataFrame:
-    """Bring item attributes to plan sums; equal item rows multiply the sums."""
+    # equal item rows of a product are counted, not repeated
     items = plan.items.groupBy(F.col("part_name").alias("product"), *attributes).agg(
-        F.count(F.lit(1)).alias("item_rows"))
-    if plan.small_items:
-        items = F.broadcast(items)
-    measures = [c for c in sums.columns if c in {"plan_rows", *FORECAST, *COMMITS, *ADJUSTMENTS}]
-    others = [c for c in sums.columns if c not in measures]
-    return sums.join(items, "product").select(
-        *others, *attributes, *[(F.col(m) * F.col("item_rows")).alias(m) for m in measures])
+        F.count(F.lit(1)).alias("i_rows"))
+    joined = (f.join(c, list(KEYS), "left").join(a, list(KEYS), "left")
+              .join(F.broadcast(items) if plan.small_items else items, "product"))
+    # a side without a match still contributes one (empty) row to the product of groups
+    n_f, n_i = F.col("f_rows"), F.col("i_rows")
+    n_c, n_a = F.coalesce("c_rows", F.lit(1)), F.coalesce("a_rows", F.lit(1))
+    return joined.select(
+        *KEYS, *extra, *labels, *attributes, (n_f * n_c * n_a * n_i).alias("plan_rows"),
+        *[(F.col(m) * (n_c * n_a * n_i)).alias(m) for m in in_f],
+        *[(nz(m) * (n_f * n_a * n_i)).alias(m) for m in in_c],
+        *[(nz(m) * (n_f * n_c * n_i)).alias(m) for m in in_a])
 
 
 def sum_measures(df: DataFrame, by: Sequence[str]) -> DataFrame:

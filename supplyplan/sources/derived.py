@@ -21,6 +21,8 @@ from supplyplan.tables import Tables
 
 AS_OF = datetime(1998, 1, 24)
 
+PLAN_TABLES = ("forecast", "commits", "adjustments", "item_master", "system_items", "planners", "suppliers")
+
 
 def _text(c: Column) -> Column:
     return c.cast("string")
@@ -52,12 +54,16 @@ class DerivedTables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
+        self._sources: dict[str, DataFrame] = {}
 
     def _source(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(os.path.join(self._folder, f"{name}.parquet"))
+        if name not in self._sources:
+            self._sources[name] = self._spark.read.parquet(os.path.join(self._folder, f"{name}.parquet"))
+        return self._sources[name]
 
-    def tables(self) -> Tables:
-        return Tables(**{n: getattr(self, n) for n in Tables.__dataclass_fields__})
+    def tables(self, *names: str) -> Tables:
+        """The named tables; those of the joined plan if none is named."""
+        return Tables(**{n: getattr(self, n) for n in names or PLAN_TABLES})
 
     @cached_property
     def suppliers(self) -> DataFrame:
