@@ -36,14 +36,15 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 def hot_keys(df: DataFrame, keys: Sequence[str], tuning: Tuning) -> dict[int, int]:
     """Hash -> estimated rows of the keys with more than `tuning.hot_rows` rows."""
-    top = (
+    found = (
         df.select(key_hash(keys).alias("k"))
         .groupBy(F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("g"))
         .agg(F.expr(f"approx_top_k_accumulate(k, {_SKETCH_ITEMS})").alias("s"))
+        .groupBy(F.lit(0).alias("all"))  # no rows in, no row out
         .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {_SKETCH_ITEMS}), {_TOP})").alias("top"))
-        .first()["top"]
+        .first()
     )
-    return {r["item"]: r["count"] for r in top or [] if r["count"] > tuning.hot_rows}
+    return {r["item"]: r["count"] for r in (found["top"] if found else []) if r["count"] > tuning.hot_rows}
 
 
 def is_hot(keys: Sequence[str], hot: dict[int, int]) -> Column:
