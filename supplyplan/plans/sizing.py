@@ -47,8 +47,8 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def measure(**frames: DataFrame) -> dict[str, Size]:
     """Row count and bytes of each frame, in one job that returns one row per frame."""
-    parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b"))
-             for name, df in frames.items()]
-    rows = reduce(DataFrame.unionByName, parts).collect()
-    return {r["name"]: Size(r["n"], r["b"]) for r in rows}
+    rows = [df.select(F.lit(name).alias("name"), _row_bytes(df).alias("b")) for name, df in frames.items()]
+    found = (reduce(DataFrame.unionByName, rows).groupBy("name")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).collect())
+    sizes = {r["name"]: Size(r["n"], r["b"]) for r in found}
+    return {name: sizes.get(name, Size(0, 0)) for name in frames}

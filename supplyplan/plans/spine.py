@@ -62,8 +62,10 @@ def load_plan(t: Tables, scope: Scope, rows: bool = False) -> Plan:
     fc = t.forecast.where(F.col("component_part").isNotNull() & in_period(scope.week, scope.dates))
     commits = revisions(t.commits, COMMITS, COMMIT_LABELS, scope.week, scope.dates)
     adjustments = revisions(t.adjustments, ADJUSTMENTS, ADJUSTMENT_LABELS, scope.week, scope.dates)
-    to_measure = {"items": scope.items, "forecast": fc.select("week_id"),
-                  "commits": commits.select("week_id"), "adjustments": adjustments.select("week_id")}
+    # rows of the plan tables are counted without reading a key column
+    period = in_period(scope.week, scope.dates)
+    to_measure = {"items": scope.items, **{
+        n: getattr(t, n).where(period).select() for n in ("forecast", "commits", "adjustments")}}
     if scope.suppliers is not None:
         to_measure["suppliers"] = scope.suppliers
     sizes = measure(**to_measure)
