@@ -5,7 +5,6 @@ from datetime import datetime
 
 import pytest
 
-import __spark_entry__ as entry_points
 from conftest import SMALL
 from helpers import same
 from supplyplan import EVERY, Tables, VarianceFilter
@@ -41,12 +40,6 @@ def shuffled_joins(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
-def test_no_cross_join_and_no_python(name, spark):
-    plan = plan_of(entry_points.queries()[name](spark, SMALL))
-    assert not re.search(r"CartesianProduct|BroadcastNestedLoop|EvalPython|InPandas|PythonUDF", plan)
-
-
 def scans_of(df, table):
     """Details of the scans of one stored table."""
     text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

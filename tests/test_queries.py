@@ -1,5 +1,7 @@
 """Every registered query against its SQL statement."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry_points
@@ -21,6 +23,8 @@ def test_query_equals_statement(name, spark, duck):
     assert sorted(df.columns) == columns
     assert frame_bag(df) == expected
     assert expected, "a query without rows checks nothing"
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoop|EvalPython|InPandas|PythonUDF", plan)
 
 
 def test_entry(spark):

@@ -17,9 +17,8 @@ QUERIES = entry_points.queries()
 STATEMENTS = entry_points.oracle_sql()
 
 SHUFFLED = [
-    "q_variance_rows", "q_variance_rows_scoped", "q_variance_week", "q_exceptions_plnr", "q_fvc_cm", "q_fcr_cm",
-    "q_dashboard_summary", "q_user_roles", "q_tasks_cm", "q_requests_approval", "q_tasks_update", "q_preferences",
-    "q_preferences_replace", "q_adhoc_status", "q_adhoc_forecast", "q_append_commits", "q_compare_current",
+    "q_variance_rows", "q_variance_rows_scoped", "q_variance_week", "q_exceptions_plnr", "q_fvc_cm", "q_user_roles",
+    "q_requests_approval", "q_tasks_update", "q_preferences_replace", "q_adhoc_adjustments", "q_append_commits",
 ]
 
 
