@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from supplyplan.functions.calendar import plan_week, plan_week_of, timestamp_literal
 from supplyplan.plans.ledger import append, next_id, numbered
+from supplyplan.plans.sizing import Tuning, measure
 from supplyplan.plans.skew import lookup_join
 from supplyplan.tables import Tables
 
@@ -64,11 +65,19 @@ def adhoc_status(t: Tables, batch: DataFrame) -> DataFrame:
     """
     order = F.col("ord")
     asked = batch.withColumn("request_week", plan_week(F.col("forecast_date")))
-    parts = (t.item_master.where(F.col("part_name").isNotNull())
-             .groupBy(F.col("part_name").alias("product")).agg(F.lit(True).alias("known")))
-    planned = (t.forecast.where(F.col("demand_date").isNotNull())
-               .groupBy(F.col("component_part").alias("product"), plan_week(F.col("demand_date")).alias("request_week"))
-               .agg(F.lit(True).alias("planned")))
+    products = asked.select("product").where("product IS NOT NULL").distinct()
+    few = measure(products=products)["products"].fits(Tuning.of(batch.sparkSession))
+
+    def of_batch(df: DataFrame) -> DataFrame:
+        # a small batch cuts the plan tables down before they are aggregated
+        return df.join(F.broadcast(products), "product", "left_semi") if few else df
+
+    parts = (of_batch(t.item_master.select(F.col("part_name").alias("product")).where("product IS NOT NULL"))
+             .groupBy("product").agg(F.lit(True).alias("known")))
+    planned = (of_batch(t.forecast.where(F.col("demand_date").isNotNull())
+                        .select(F.col("component_part").alias("product"),
+                                plan_week(F.col("demand_date")).alias("request_week")))
+               .groupBy("product", "request_week").agg(F.lit(True).alias("planned")))
     vendors = (t.suppliers.where(F.col("vendor_id").isNotNull()).groupBy("vendor_id")
                .agg(F.count(F.lit(1)).alias("vendors"), F.first("vendor_name").alias("vendor_name")))
     checked = lookup_join(asked, parts, ["product"], "left", left_spread=order)
