@@ -1,6 +1,28 @@
 """DuckDB statements of the numbered operators that SQL can express."""
 
+_NORMAL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 STATEMENTS = {
+    "op2_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
+        i AS (SELECT item_id, {_NORMAL} AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS m, w[k:k + least(len(w), 13) - 1] AS g
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+        pos AS (
+            SELECT doc_id, k, m, w[k:k + m - 1] AS g
+            FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k
+                  FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+        hit AS (SELECT doc_id, k, m, item_id FROM pos JOIN win USING (m, g)),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS p FROM hit),
+        n AS (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id),
+        ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+                FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * n_hit >= coalesce(len(w), 0) AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN ids USING (doc_id)""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
