@@ -24,7 +24,8 @@ _STATE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.metricsEnabled": "false",
+    # else every instance reserves megabytes of disk for a manifest of a few hundred bytes
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 

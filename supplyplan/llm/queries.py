@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, substring_dedup
 from .statements import STATEMENTS
 
 
@@ -15,6 +15,11 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_documents(spark, folder)).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     return found.select(
@@ -27,7 +32,7 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op4_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,20 @@ _NORMAL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ab
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 STATEMENTS = {
+    "op1_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, k, w[k:k + 19] AS g
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+        again AS (SELECT doc_id, k FROM win
+                  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, k) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS p FROM again),
+        cut AS (SELECT doc_id, count(*) AS n_removed, list(p) AS ps FROM gone GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS body
+                 FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d)
+                 ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op2_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
         i AS (SELECT item_id, {_NORMAL} AS w FROM benchmark),
