@@ -151,11 +151,23 @@ def _payload(batches: Iterator[pa.RecordBatch], unit: Unit, width_bytes: int) ->
             taken = t.codes[gather(start[first], length[first])]
             taken = taken if width_bytes == 1 else (taken >> np.uint64(32)).astype(np.uint32)
             ends = np.concatenate([[0], np.cumsum(size * width_bytes)]).astype(np.int32)
+            place = _places(t.sums, unit, anchor, start, n)
             tokens = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(taken.tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [signed(anchor), signed(seg), pa.array(doc), pa.array(own.astype(np.int32)),
-                 pa.array(np.abs(n).astype(np.int32)), pa.array(first), tokens],
-                ["anchor", "seg", "doc", "start", "n", "first", "tokens"])
+                 pa.array(np.abs(n).astype(np.int32)), pa.array(first), pa.array(place), tokens],
+                ["anchor", "seg", "doc", "start", "n", "first", "place", "tokens"])
+
+
+def _places(sums: np.ndarray, unit: Unit, anchor: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where in its segment the anchor stands: the first run of that hash that its last window holds."""
+    n = np.abs(n)
+    reach = unit.width - unit.gram + 2 - n
+    at = gather(start + n - 1, reach)
+    found = np.where(fixed_hash(sums, unit.gram)[at] == np.repeat(anchor, reach), at, np.iinfo(np.int64).max)
+    if not len(found):
+        return np.zeros(0, np.int32)
+    return (np.minimum.reduceat(found, np.cumsum(reach) - reach) - start).astype(np.int32)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -163,7 +175,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def candidate_segments(docs: DataFrame, unit: Unit, width_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct segments with a repeated anchor (anchor, seg, n, doc, start of the earliest, tokens), and the
+    """Distinct segments with a repeated anchor (anchor, seg, n, place, doc and start of the earliest, tokens), and the
     stretches (doc, start, n) of windows that surely repeat an earlier segment."""
     spark = docs.sparkSession
     texts = keyed(docs)
@@ -173,11 +185,11 @@ def candidate_segments(docs: DataFrame, unit: Unit, width_bytes: int) -> tuple[D
     wanted = repeated.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("wanted"))
     fetched = stored(arrow_map(
         texts.join(wanted, "doc").select("doc", "text", "wanted"), lambda it: _payload(it, unit, width_bytes),
-        "anchor bigint, seg bigint, doc bigint, start int, n int, first boolean, tokens binary"), "segments")
+        "anchor bigint, seg bigint, doc bigint, start int, n int, first boolean, place int, tokens binary"), "segments")
     distinct = stored(
-        fetched.filter("first").groupBy("anchor", "seg", "n").agg(
+        fetched.filter("first").groupBy("anchor", "seg", "n", "place").agg(
             F.min(F.struct("doc", "start")).alias("at"), F.first("tokens").alias("tokens"))
-        .select("anchor", "seg", "n", "at.doc", "at.start", "tokens"), "distinct-segments")
+        .select("anchor", "seg", "n", "place", "at.doc", "at.start", "tokens"), "distinct-segments")
     earliest = distinct.select("anchor", "seg", "n", F.struct("doc", "start").alias("at"))
     later = fetched.filter("first").join(earliest, ["anchor", "seg", "n"]).filter(
         (F.col("doc") != F.col("at.doc")) | (F.col("start") != F.col("at.start")))
@@ -192,6 +204,51 @@ def covered_tokens(docs: DataFrame, stretches: DataFrame, width: int) -> DataFra
     return keyed(docs).join(spans, "doc", "left")
 
 
+def shards(batches: Iterator[pa.RecordBatch], most: int, width_bytes: int) -> Iterator[pa.Table]:
+    """Segments that come with all of an anchor together, in tables cut between anchors at about `most` tokens;
+    anchors with one distinct segment are left out, for nothing repeats there."""
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, most
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch["tokens"].nbytes // width_bytes
+        if size < limit:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        anchors = table["anchor"].to_numpy()
+        others = np.flatnonzero(anchors != anchors[-1])  # the last anchor may go on
+        if len(others):
+            yield from _several(table.slice(0, others[-1] + 1))
+            table = table.slice(others[-1] + 1).combine_chunks()
+        held = table.to_batches()
+        size = sum(b["tokens"].nbytes for b in held) // width_bytes
+        limit = max(most, 2 * size)
+    if held:
+        yield from _several(pa.Table.from_batches(held))
+
+
+def _several(table: pa.Table) -> Iterator[pa.Table]:
+    anchors = table["anchor"].to_numpy()
+    several = np.zeros(len(anchors), bool)
+    several[1:] = anchors[1:] == anchors[:-1]
+    several[:-1] |= several[1:]
+    if several.any():
+        yield table.filter(pa.array(several)).combine_chunks()
+
+
+def runs_of(later: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, first window and number of windows of the runs of True among the windows of segments of n windows."""
+    seg = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+    opens, closes = later.copy(), later.copy()
+    opens[1:] &= ~later[:-1] | (seg[1:] != seg[:-1])
+    closes[:-1] &= ~later[1:] | (seg[1:] != seg[:-1])
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    return seg[a], offset[a], b - a + 1
+
+
 def disjoint(removed: list[dict] | None, n: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((s["start"], min(s["end"], n)) for s in removed or ()):

@@ -41,4 +41,21 @@ STATEMENTS = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        win AS (SELECT doc_id, k, md5(substr(h, 2 * k - 1, 200)) AS g
+                FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS k FROM d WHERE length(h) >= 200)),
+        again AS (SELECT doc_id, k FROM win
+                  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, k) > 1),
+        steps AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM again),
+        runs AS (SELECT doc_id, k, sum((before IS NULL OR k > before + 100)::INT) OVER
+                     (PARTITION BY doc_id ORDER BY k) AS run FROM steps),
+        spans AS (SELECT doc_id, min(k) AS a, max(k) + 100 AS b FROM runs GROUP BY doc_id, run),
+        kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+                     list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(
+                   range(1, n_spans + 2), lambda i: substr(h, 2 * coalesce(ends[i - 1], 1) - 1,
+                   2 * (coalesce(starts[i], length(h) // 2 + 1) - coalesce(ends[i - 1], 1)))), '') END)) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import NO_ID, Unit, candidate_segments, covered_tokens, disjoint, word_tokens
+from .repeats import NO_ID, Unit, candidate_segments, covered_tokens, disjoint, runs_of, shards, word_tokens
 from .scratch import partitions
 from .shipping import arrow_map
 from .textcodes import gather
@@ -153,49 +153,11 @@ def _report(codes: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray
         first[position] = np.arange(len(position))
         e, p = first[least[which]], part[full]
         later[k + full] = same & ((d[e] != d[p]) | (place[e] != place[p]))
-    seg = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-    opens = later.copy()
-    opens[1:] &= ~later[:-1] | (seg[1:] != seg[:-1])
-    closes = later.copy()
-    closes[:-1] &= ~later[1:] | (seg[1:] != seg[:-1])
-    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-    return seg[a], offset[a], b - a + 1
-
-
-def _shards(batches: Iterator[pa.RecordBatch], most: int, width_bytes: int) -> Iterator[pa.Table]:
-    """Rows sorted by anchor, in tables cut between anchors at about `most` tokens."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch["tokens"].nbytes // width_bytes
-        if size < most:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        anchors = table["anchor"].to_numpy()
-        edge = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
-        if edge:
-            yield table.slice(0, edge)
-            table = table.slice(edge).combine_chunks()
-        held = table.to_batches()
-        size = sum(b["tokens"].nbytes for b in held) // width_bytes
-        most = max(most, 2 * size)
-    if held:
-        yield pa.Table.from_batches(held)
+    return runs_of(later, n)
 
 
 def _index_shards(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[pa.RecordBatch]:
-    for shard in _shards(batches, most, 4):
-        anchors = shard["anchor"].to_numpy()
-        several = np.zeros(len(anchors), bool)
-        several[1:] = anchors[1:] == anchors[:-1]
-        several[:-1] |= several[1:]
-        shard = shard.filter(pa.array(several)).combine_chunks()
-        if not shard.num_rows:
-            continue
+    for shard in shards(batches, most, 4):
         n, doc, start = (shard[k].to_numpy().astype(np.int64) for k in ("n", "doc", "start"))
         tokens = shard["tokens"].combine_chunks()
         codes = np.frombuffer(b"".join(tokens.to_pylist()), np.uint32)
