@@ -84,7 +84,8 @@ def exact_dedup(spark: SparkSession, source: str, digest: Callable[[Column], Col
     # the hits, with their bytes; shuffled by digest so that a heavy digest can be split by adaptive execution
     hits = stored(docs.join(state.filter("n > 1"), "digest"), "exact-hits")
     first = hits.filter(F.col("at").eqNullSafe(F.col("keeper"))).select("digest", F.col("body").alias("first"))
-    collided = stored(hits.join(first, "digest").filter("body <> first").select("digest").distinct(), "exact-collided")
+    # no aggregate above this join, so that adaptive execution may split a heavy digest
+    collided = stored(hits.join(first, "digest").filter("body <> first").select("digest"), "exact-collided").distinct()
     plain = docs.drop("body").join(state, "digest")
     columns = ["doc_id", F.col("keeper.id").alias("keep_id"), F.col("n").alias("group_size"),
                F.col("at").eqNullSafe(F.col("keeper")).alias("kept"), "digest"]
