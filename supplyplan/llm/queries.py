@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, substring_dedup, suffix_dedup
+from . import decontaminate, exact_dedup, packing, substring_dedup, suffix_dedup
 from .statements import STATEMENTS
 
 
@@ -31,13 +31,18 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{folder}/documents.parquet").withColumnRenamed("digest", "text_sha256")
 
 
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.best_fit_packing(_documents(spark, folder))
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_documents(spark, folder)).select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op4_exact_dedup, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op4_exact_dedup, op7_best_fit_packing,
+                                     op8_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
