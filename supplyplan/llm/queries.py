@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, substring_dedup, suffix_dedup
+from . import decontaminate, exact_dedup, language, packing, quality, substring_dedup, suffix_dedup
 from .statements import STATEMENTS
 
 
@@ -27,10 +27,21 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = quality.fit(docs, quality.graded(spark.read.parquet(f"{folder}/labels.parquet")))
+    return quality.score(docs, model).withColumn("keep", F.col("p_best") >= quality.KEEP)
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{folder}/documents.parquet").withColumnRenamed("digest", "text_sha256")
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    return language.predict(docs, language.fit(docs))
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, folder))
 
@@ -41,8 +52,8 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op4_exact_dedup, op7_best_fit_packing,
-                                     op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality, op4_exact_dedup, op6_language,
+                                     op7_best_fit_packing, op8_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
