@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, packing, quality, substring_dedup, suffix_dedup
+from . import (
+    decontaminate, exact_dedup, language, packing, personal_data, quality, substring_dedup, suffix_dedup,
+)
 from .statements import STATEMENTS
 
 
@@ -51,9 +53,14 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    return personal_data.personal_data(docs, personal_data.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality, op4_exact_dedup, op6_language,
-                                     op7_best_fit_packing, op8_suffix_dedup)}
+                                     op7_best_fit_packing, op8_suffix_dedup, op9_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
