@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, exact_dedup, language, packing, personal_data, quality, substring_dedup, suffix_dedup,
+    decontaminate, exact_dedup, language, near_dedup, packing, personal_data, quality, substring_dedup,
+    suffix_dedup,
 )
 from .statements import STATEMENTS
 
@@ -58,9 +59,13 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.personal_data(docs, personal_data.fit(docs))
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_dedup(_documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality, op4_exact_dedup, op6_language,
-                                     op7_best_fit_packing, op8_suffix_dedup, op9_personal_data)}
+                                     op7_best_fit_packing, op8_suffix_dedup, op9_personal_data, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
