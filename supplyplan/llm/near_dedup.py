@@ -8,9 +8,7 @@ A candidate pair is a link if its similarity is 0.8 or more. The similarity is t
 shingles over shingles in either, found bit-parallel within the band outside which 0.8 can't be reached; where
 passages have moved, the exact Jaccard similarity of the shingle sets decides instead.
 
-Nothing emits all pairs of a group. Documents with equal word sequences count once. Of each bucket, a few pivots meet
-all members, in two rounds with other pivots, and links make components. Only members of one bucket that are
-still in different components are then compared with each other, so that no link between them is lost.
+Documents with equal word sequences count once, and nothing emits all pairs of a group: see `grouping`.
 
 Words are lower-cased `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Defined results: a document of fewer than five words is one
 shingle; null, empty and wordless texts are a class of their own each, by doc_id; of a class the smallest doc_id stays;
@@ -27,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .grouping import links_in_buckets
 from .repeats import NO_ID, keyed
 from .scratch import stored
 from .shipping import arrow_map
@@ -36,7 +35,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: at similarity 0.8, 0.8 ** 4 of the sketches agree; all 24 differ for 3 of a million pairs
 SKETCHES, TAKEN = 24, 4
-ROUNDS = 2
 
 
 def shingles(codes: np.ndarray, rows: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -195,32 +193,6 @@ def verified(pairs: DataFrame, store: DataFrame, least: float) -> DataFrame:
                      "a bigint, b bigint, similarity double")
 
 
-def _pairs(left: str, right: str, least: float):
-    """Ordered pair columns and the test that the sizes allow the similarity."""
-    sizes = F.least(f"{left}_n", f"{right}_n") >= F.lit(least) * F.greatest(f"{left}_n", f"{right}_n")
-    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b"), sizes & (F.col(left) != F.col(right))
-
-
-def _star_pairs(members: DataFrame, salt: int, least: float) -> DataFrame:
-    """Every member of a bucket with the bucket's two pivots, where they are in different components."""
-    ranked = members.withColumn("pivot", F.struct(F.xxhash64("rep", F.lit(salt)).alias("r"), "rep", "n", "label"))
-    pivots = ranked.groupBy("bucket").agg(F.array(F.min("pivot"), F.max("pivot")).alias("pivots")).filter(
-        F.col("pivots")[0] != F.col("pivots")[1])
-    met = members.join(pivots, "bucket").select(
-        "rep", "label", F.col("n").alias("rep_n"), F.explode("pivots").alias("p")).select(
-        "rep", "rep_n", F.col("p.rep").alias("to"), F.col("p.n").alias("to_n"), "label", F.col("p.label").alias("to_label"))
-    a, b, fits = _pairs("rep", "to", least)
-    return met.filter(fits & (F.col("label") != F.col("to_label"))).select(a, b).distinct()
-
-
-def _labelled_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return members.withColumn("label", F.col("rep"))
-    labels = components(links)
-    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "label", F.coalesce("label", "rep"))
-
-
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(classes, links): doc, class_id and rep (the smallest doc of equal word sequences) of every row, and the
     verified links (a, b, similarity) between representatives."""
@@ -234,28 +206,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFra
     members = stored(exploded.join(shared, "bucket"), "members")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
     store = stored(arrow_map(texts.join(wanted, "doc").select("doc", "text"), _shingle_rows, "doc bigint, shingles binary"), "shingles")
-    links = tested = None
-    for salt in range(ROUNDS):
-        labelled_members = _labelled_members(members, links)
-        pairs = _star_pairs(labelled_members, salt, least)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"pairs-{salt}")
-        found = stored(verified(pairs, store, least), f"links-{salt}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-    # whatever shares a bucket and is still apart, within size bands that pairs of the similarity can't leave by more than one
-    apart = _labelled_members(members, links)
-    split = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    apart = stored(apart.join(split, "bucket").withColumn("band", F.floor(F.log("n") / float(-np.log(least)) + 1e-9)), "apart")
-    left = apart.select("bucket", "rep", F.col("n").alias("rep_n"), "label", "band")
-    right = apart.select("bucket", F.col("rep").alias("to"), F.col("n").alias("to_n"), F.col("label").alias("to_label"),
-                         F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("to_band"))
-    a, b, fits = _pairs("rep", "to", least)
-    cross = left.join(right, ["bucket", "band"]).filter(
-        fits & (F.col("label") != F.col("to_label")) & ((F.col("to_band") < F.col("band")) | (F.col("rep") < F.col("to"))))
-    rest = stored(cross.select(a, b).distinct().join(tested, ["a", "b"], "left_anti"), "pairs-apart")
-    links = stored(links.unionByName(verified(rest, store, least)), "links")
+    links = links_in_buckets(
+        members, lambda pairs: verified(pairs, store, least),
+        lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y),
+        F.floor(F.log("n") / float(-np.log(least)) + 1e-9))
     labels = components(links).withColumnRenamed("node", "rep")
     classes = sketched.join(reps.select("h1", "h2", "rep"), ["h1", "h2"], "left").withColumn(
         "rep", F.coalesce("rep", "doc")).join(labels, "rep", "left").select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, exact_dedup, language, near_dedup, packing, personal_data, quality, substring_dedup,
+    decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup,
     suffix_dedup,
 )
 from .statements import STATEMENTS
@@ -40,6 +40,15 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{folder}/documents.parquet").withColumnRenamed("digest", "text_sha256")
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    found = line_dedup.removed_lines(docs)
+    lines = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.nullif("doc", F.lit(line_dedup.NO_ID))), "left")
+    return lines.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+                        F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
+                        F.coalesce("removed", F.expr("array()")).alias("removed"))
+
+
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     return language.predict(docs, language.fit(docs))
@@ -64,7 +73,7 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality, op4_exact_dedup, op6_language,
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality, op4_exact_dedup, op5_line_dedup, op6_language,
                                      op7_best_fit_packing, op8_suffix_dedup, op9_personal_data, op10_near_dedup)}
 
 
