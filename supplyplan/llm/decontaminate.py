@@ -205,21 +205,26 @@ def _item_codes(batches: Iterator[pa.RecordBatch], window: int, piece: int) -> I
                                           pa.array([c for _, c in out], pa.list_(pa.int64()))], ["item", "codes"])
 
 
-def item_windows_hit(docs: DataFrame, items: DataFrame, window: int = WINDOW,
-                     shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, text, n_words, spans (disjoint; in words and in bytes), items (ids with occurring windows)."""
-    spark = docs.sparkSession
+def _automata(items: DataFrame, window: int, shard_words: int) -> Iterator[Automaton]:
+    """One automaton for each shard of about `shard_words` item words, made on the driver one after the other."""
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     coded = stored(arrow_map(named, lambda it: _item_codes(it, window, PIECE_WORDS),
                              "item string, codes array<bigint>"), "item-codes")
     total = coded.agg(F.sum(F.size("codes"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_words))
-    out = docs.select(F.col("doc_id").cast("bigint"), "text", F.lit(0).cast("bigint").alias("n_words"),
-                      F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for k in range(shards):
         part = coded.filter(F.pmod(F.xxhash64("item", "codes"), F.lit(shards)) == k).distinct()
-        rows = [(r.item, [c & (1 << 64) - 1 for c in r.codes]) for r in part.collect()]  # at most about shard_words words
-        shared = spark.sparkContext.broadcast(Automaton(sorted(rows), window))
+        yield Automaton(sorted((r.item, [c & (1 << 64) - 1 for c in r.codes]) for r in part.collect()), window)
+
+
+def item_windows_hit(docs: DataFrame, items: DataFrame, window: int = WINDOW,
+                     shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, text, n_words, spans (disjoint; in words and in bytes), items (ids with occurring windows)."""
+    spark = docs.sparkSession
+    out = docs.select(F.col("doc_id").cast("bigint"), "text", F.lit(0).cast("bigint").alias("n_words"),
+                      F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    for automaton in _automata(items, window, shard_words):
+        shared = spark.sparkContext.broadcast(automaton)
         out = arrow_map(out, lambda it, shared=shared: _match(it, shared.value), _MATCHED)
     return out
 
@@ -254,3 +259,27 @@ def remove_spans(matched: DataFrame, longest: int = 0, coverage_parts: int = 20)
     over = n_hit() * coverage_parts >= F.col("n_words")
     doomed = F.when(over, F.col("spans")).otherwise(F.filter("spans", lambda s: s["end"] - s["start"] > longest))
     return arrow_map(matched.select("doc_id", "text", doomed.alias("spans")), _cut, "doc_id bigint, text string")
+
+
+def _clean(batches: Iterator[pa.RecordBatch], automata: list, coverage_parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        stays = []
+        for _, _, data, offs in blocks(batch["text"]):
+            codes, _, _, rows = words(LOWER[data], offs, ALNUM)
+            hit = np.zeros(len(codes), bool)
+            for shared in automata:
+                for row, (spans, _) in _block_hits(shared.value, codes, rows).items():
+                    for a, b in spans:
+                        hit[a:b] = True
+            sums = np.concatenate([[0], np.cumsum(hit)])[rows]
+            n = np.diff(sums)
+            stays.append((n == 0) | (coverage_parts * n < np.diff(rows)))
+        yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *stays])))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage_parts: int = 20,
+                      shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The documents, with all their columns and unchanged, that aren't contaminated."""
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(a) for a in _automata(items, window, shard_words)]
+    return arrow_map(docs, lambda it: _clean(it, shared, coverage_parts), docs.schema)

@@ -98,14 +98,13 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], threshold: int, shortest: in
             order = np.argsort(size, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
                 n = int(size[own[0]])  # lines of one length have the same places
-                at, key, count = [], [], 0
+                at, key = [], []
                 places = {(n - d, *p) for d in range(threshold + 1) if n - d >= shortest for p in probe_places(n, d, threshold)}
                 for length, i, p, s in sorted(places):
                     at.append((starts[own] + p, starts[own] + p + s))
-                    key.append(np.uint64(length * 16 + i))
-                    count += 1
+                    key.append(np.uint64((length * 16 + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
                 for (a, b), k in zip(at, key):
-                    buckets.append(mix(run_hash(sums, a, b) + k * np.uint64(0x9E3779B97F4A7C15)))
+                    buckets.append(mix(run_hash(sums, a, b) + k))
                     reps.append(rep[own])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.concatenate(reps).view(np.int64))], ["bucket", "rep"])

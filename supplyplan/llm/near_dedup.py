@@ -223,3 +223,11 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     out = classes.select(*(F.nullif(c, F.lit(NO_ID)).alias(name) for c, name in (
         ("doc", "doc_id"), ("class_id", "class_id"), ("rep", "rep_id"))))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The documents, with all their columns, of which one of each class stays."""
+    classes, _ = near_duplicates(docs, least)
+    gone = classes.filter(F.col("doc") != F.col("class_id")).select("doc").distinct()
+    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).join(
+        gone, "doc", "left_anti").select(*docs.columns)
