@@ -4,9 +4,10 @@ A window of `width` tokens is known by the smallest hash among its runs of `gram
 windows have equal anchors in equal places, so windows can be dealt out by anchor, and no two windows that share the
 very place of an anchor are equal. Consecutive windows with one anchor place make a segment. Where an anchor occurs once, none of its windows repeats and no token of it is moved any further.
 
-Hot passages: equal segments of a block of texts collapse to the earliest before any shuffle, and the rest of
-them to one row by map-side aggregation, so a passage that a third of all documents hold moves as one row per
-block of text. Positions are (doc_id, start); rows that repeat a doc_id are one document to this order.
+Hot passages: equal segments of a block of texts collapse to the earliest before any shuffle by content, so a passage
+that a third of all documents hold is one row per block of text there; rows of an anchor stream by in sorted order,
+with one held back, so that none of them has to fit into memory. Tokens are fetched only for segments that differ
+under one anchor, once for each content. Positions are (doc_id, start); rows that repeat a doc_id are one document to this order.
 """
 
 from __future__ import annotations
@@ -78,18 +79,21 @@ def segments(tokens: Tokens, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _earliest(anchor: np.ndarray, seg: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """True for the earliest of the segments with equal content."""
+    """True for the earliest of the segments with equal content, and for repeats of its row."""
     order = np.lexsort((start, doc, seg, anchor))
-    a, s = anchor[order], seg[order]
+    a, s, d, p = anchor[order], seg[order], doc[order], start[order]
     first = np.ones(len(order), bool)
     first[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+    head = np.flatnonzero(first)[np.cumsum(first) - 1]
+    first |= (d == d[head]) & (p == p[head])
     out = np.empty(len(order), bool)
     out[order] = first
     return out
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
-    """(key, anchor, doc, start, n): segments; n < 0 marks one that repeats an earlier one of its block."""
+    """(anchor, seg, doc, at): segments, `at` holding start and number of windows. A segment that repeats an earlier
+    one of its block has the complement of that, and goes wherever its document's hash sends it."""
     for batch in batches:
         ids = batch["doc"].to_numpy()
         for lo, _, data, offs in blocks(batch["text"]):
@@ -98,70 +102,90 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.R
             if not len(anchor):
                 continue
             doc, own = ids[lo + row], start - t.rows[row]
-            first = _earliest(anchor, run_hash(t.sums, start, start + n + unit.width - 1), doc, own)
-            key = np.where(first, anchor.view(np.int64), mix(doc.astype(np.uint64) + np.uint64(1)).view(np.int64))
+            seg = run_hash(t.sums, start, start + n + unit.width - 1)
+            first = _earliest(anchor, seg, doc, own)
+            away = mix(doc.astype(np.uint64) + np.uint64(1))
+            at = own << 16 | n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), signed(anchor), pa.array(doc), pa.array(own.astype(np.int32)),
-                 pa.array(np.where(first, n, -n).astype(np.int32))], ["key", "anchor", "doc", "start", "n"])
+                [signed(np.where(first, anchor, away)), signed(np.where(first, seg, np.uint64(0))), pa.array(doc),
+                 pa.array(np.where(first, at, ~at))], ["anchor", "seg", "doc", "at"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those that share key and anchor with a neighbour, and the marked ones."""
-    held: pa.RecordBatch | None = None  # the last row so far; whether it was passed on
-    passed = False
+    """Of rows sorted by anchor, content and position: the later ones of equal segments, as surely repeated, and the
+    first ones of those whose anchor has other segments too, as wanted. One row is held back between batches."""
+    last: tuple[int, ...] | None = None  # the last segment
+    held: tuple[int, int, int] | None = None  # the last first one, unless it was passed on
+    anchor_before: int | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, n = batch["key"].to_numpy(), batch["n"].to_numpy()
-        own = n > 0
-        like = np.zeros(len(key), bool)  # as the row before
-        like[1:] = (key[1:] == key[:-1]) & own[1:] & own[:-1]
-        if held is not None:
-            like[0] = bool(own[0]) and held["n"][0].as_py() > 0 and int(key[0]) == held["key"][0].as_py()
-            if like[0] and not passed:
-                yield held.select(["anchor", "doc", "start", "n"])
-        keep = ~own | like
-        keep[:-1] |= like[1:]
-        yield batch.filter(pa.array(keep)).select(["anchor", "doc", "start", "n"])
-        held, passed = batch.slice(batch.num_rows - 1), bool(keep[-1])
+        anchor, seg, doc, at = (batch[k].to_numpy() for k in ("anchor", "seg", "doc", "at"))
+        marked = at < 0
+        own = np.flatnonzero(~marked)
+        repeated, wanted = marked.copy(), np.zeros(len(at), bool)
+        extra: list[tuple[int, int, int]] = []
+        if len(own):
+            a, s, d, p = (x[own] for x in (anchor, seg, doc, at))
+            new, other = np.ones(len(own), bool), np.ones(len(own), bool)
+            new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+            other[1:] = new[1:] | (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+            if last is not None:
+                new[0] = (int(a[0]), int(s[0])) != last[:2]
+                other[0] = (int(a[0]), int(s[0]), int(d[0]), int(p[0])) != last
+            repeated[own[~new & other]] = True
+            last = int(a[-1]), int(s[-1]), int(d[-1]), int(p[-1])
+            f = own[new]
+            if len(f):
+                like = np.zeros(len(f), bool)
+                like[1:] = anchor[f[1:]] == anchor[f[:-1]]
+                like[0] = anchor_before is not None and int(anchor[f[0]]) == anchor_before
+                if like[0] and held is not None:
+                    extra.append(held)
+                keep = like.copy()
+                keep[:-1] |= like[1:]
+                wanted[f[keep]] = True
+                anchor_before = int(anchor[f[-1]])
+                held = None if keep[-1] else (anchor_before, int(doc[f[-1]]), int(at[f[-1]]))
+        out = np.flatnonzero(repeated | wanted)
+        at = np.where(at < 0, ~at, at)[out]
+        anchor, doc, want = anchor[out], doc[out], wanted[out]
+        if extra:
+            anchor, doc, at = (np.append(x, e) for x, e in zip((anchor, doc, at), extra[0]))
+            want = np.append(want, True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchor), pa.array(doc), pa.array((at >> 16).astype(np.int32)),
+             pa.array((at & 0xFFFF).astype(np.int32)), pa.array(want)], ["anchor", "doc", "start", "n", "want"])
 
 
 def _payload(batches: Iterator[pa.RecordBatch], unit: Unit, width_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The wanted segments of each text: content hash and tokens of the earliest in each block."""
+    """The tokens of the wanted segments of each text."""
     for batch in batches:
         ids = batch["doc"].to_numpy()
-        lists = batch["wanted"].combine_chunks() if isinstance(batch["wanted"], pa.ChunkedArray) else batch["wanted"]
+        lists = batch["wanted"]
         counts = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten()
         anchor_all, start_all, n_all = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "start", "n"))
         bounds = np.concatenate([[0], np.cumsum(counts)])
         for lo, hi, data, offs in blocks(batch["text"]):
             t = unit.read(data, offs)
-            at = slice(bounds[lo], bounds[hi])
+            part = slice(bounds[lo], bounds[hi])
             row = np.repeat(np.arange(hi - lo), counts[lo:hi])
-            anchor, own, n = anchor_all[at].view(np.uint64), start_all[at].astype(np.int64), n_all[at].astype(np.int64)
-            length = np.abs(n) + unit.width - 1
-            fits = own + length <= np.diff(t.rows)[row]  # rows with one doc_id and other texts
+            anchor, own, n = anchor_all[part].view(np.uint64), start_all[part].astype(np.int64), n_all[part].astype(np.int64)
+            length = n + unit.width - 1
+            fits = own + length <= np.diff(t.rows)[row]  # a doc_id may come with other texts
             anchor, row, own, n, length = (x[fits] for x in (anchor, row, own, n, length))
-            start, doc = own + t.rows[row], ids[lo + row]
-            seg = run_hash(t.sums, start, start + length)
-            first = n > 0
-            first[first] = _earliest(anchor[first], seg[first], doc[first], own[first])
-            size = np.where(first, length, 0)
-            taken = t.codes[gather(start[first], length[first])]
+            start = own + t.rows[row]
+            taken = t.codes[gather(start, length)]
             taken = taken if width_bytes == 1 else (taken >> np.uint64(32)).astype(np.uint32)
-            ends = np.concatenate([[0], np.cumsum(size * width_bytes)]).astype(np.int32)
-            place = _places(t.sums, unit, anchor, start, n)
-            tokens = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(taken.tobytes())])
+            ends = np.concatenate([[0], np.cumsum(length * width_bytes)]).astype(np.int32)
+            tokens = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(taken.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [signed(anchor), signed(seg), pa.array(doc), pa.array(own.astype(np.int32)),
-                 pa.array(np.abs(n).astype(np.int32)), pa.array(first), pa.array(place), tokens],
-                ["anchor", "seg", "doc", "start", "n", "first", "place", "tokens"])
+                [signed(anchor), pa.array(ids[lo + row]), pa.array(own.astype(np.int32)), pa.array(n.astype(np.int32)),
+                 pa.array(_places(t.sums, unit, anchor, start, n)), tokens],
+                ["anchor", "doc", "start", "n", "place", "tokens"])
 
 
 def _places(sums: np.ndarray, unit: Unit, anchor: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Where in its segment the anchor stands: the first run of that hash that its last window holds."""
-    n = np.abs(n)
     reach = unit.width - unit.gram + 2 - n
     at = gather(start + n - 1, reach)
     found = np.where(fixed_hash(sums, unit.gram)[at] == np.repeat(anchor, reach), at, np.iinfo(np.int64).max)
@@ -175,26 +199,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def candidate_segments(docs: DataFrame, unit: Unit, width_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct segments with a repeated anchor (anchor, seg, n, place, doc and start of the earliest, tokens), and the
-    stretches (doc, start, n) of windows that surely repeat an earlier segment."""
-    spark = docs.sparkSession
+    """Segments that may hold windows of others (anchor, doc, start, n, place of the anchor, tokens), the earliest of
+    equal ones for all, and the stretches (doc, start, n) of windows that surely repeat an earlier segment."""
     texts = keyed(docs)
-    rows = arrow_map(texts, lambda it: _anchor_rows(it, unit), "key bigint, anchor bigint, doc bigint, start int, n int")
-    dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    repeated = arrow_map(dealt, _repeated, "anchor bigint, doc bigint, start int, n int")
-    wanted = repeated.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("wanted"))
-    fetched = stored(arrow_map(
-        texts.join(wanted, "doc").select("doc", "text", "wanted"), lambda it: _payload(it, unit, width_bytes),
-        "anchor bigint, seg bigint, doc bigint, start int, n int, first boolean, place int, tokens binary"), "segments")
-    distinct = stored(
-        fetched.filter("first").groupBy("anchor", "seg", "n", "place").agg(
-            F.min(F.struct("doc", "start")).alias("at"), F.first("tokens").alias("tokens"))
-        .select("anchor", "seg", "n", "place", "at.doc", "at.start", "tokens"), "distinct-segments")
-    earliest = distinct.select("anchor", "seg", "n", F.struct("doc", "start").alias("at"))
-    later = fetched.filter("first").join(earliest, ["anchor", "seg", "n"]).filter(
-        (F.col("doc") != F.col("at.doc")) | (F.col("start") != F.col("at.start")))
-    again = fetched.filter("not first").select("doc", "start", "n").unionByName(later.select("doc", "start", "n"))
-    return distinct, again
+    rows = arrow_map(texts, lambda it: _anchor_rows(it, unit), "anchor bigint, seg bigint, doc bigint, at bigint")
+    dealt = rows.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "seg", "doc", "at")
+    repeated = stored(arrow_map(dealt, _repeated, "anchor bigint, doc bigint, start int, n int, want boolean"), "repeated")
+    wanted = repeated.filter("want").groupBy("doc").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("wanted"))
+    fetched = arrow_map(texts.join(wanted, "doc").select("doc", "text", "wanted"),
+                        lambda it: _payload(it, unit, width_bytes),
+                        "anchor bigint, doc bigint, start int, n int, place int, tokens binary")
+    return stored(fetched, "segments"), repeated.filter("not want").select("doc", "start", "n")
 
 
 def covered_tokens(docs: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
