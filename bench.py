@@ -45,7 +45,7 @@ def _store(spark: SparkSession, folder: str, root: str, files: int) -> Tables:
     for name in STORED:
         df = conform(getattr(derived, name), name)
         # the test data is one file per table; plan tables of any size have many
-        write_version(df.repartition(files) if name in ("forecast", "commits", "adjustments") else df, root, name)
+        write_version(df.repartition(files, "week_id") if name in ("forecast", "commits", "adjustments") else df, root, name)
     return read_tables(spark, root, *STORED)
 
 

@@ -155,13 +155,14 @@ def _summary() -> str:
         line("open_pos", _OPEN_POS, "sum(no_of_open_pos)", "sum(open_pos_quantity)")]))
 
 
-def _compare(day: str, **filters: str) -> str:
+def _compare(day: str, wanted: tuple[str, ...] = (), **filters: str) -> str:
     sums = {"non_gsa_req": "non_gsa_forecast", "non_gsa_adj": "non_gsa_adjustment", "non_gsa_commit": "non_gsa_commit",
             "gsa_req": "gsa_forecast", "gsa_adj": "gsa_adjustment", "gsa_commit": "gsa_commit",
             "forecast_req": "forecast", "forecast_adj": "adjustment", "forecast_commit": "commit"}
     measures = ", ".join(f"CAST(sum(coalesce({_MEASURES[m]}, 0)) AS BIGINT) AS {c}" for c, m in sums.items())
     monday = f"CAST(date_trunc('week', {day}) AS DATE)"
-    tests = [f"f.week_id = {week(AS_OF)}", f"{week('f.demand_date')} = {week(AS_OF)}", f"year({day}) = 1998"]
+    tests = [f"f.week_id = {week(AS_OF)}",
+             *(wanted or (f"{week('f.demand_date')} = {week(AS_OF)}", f"year({day}) = 1998"))]
     return with_tables(f"""
         SELECT f.component_part AS product, {week(day)} AS week_id, {monday} AS forecast_date, {measures}
         {spine(*tests, *_filters(**filters))} GROUP BY f.component_part, {week(day)}, {monday}""")
@@ -199,12 +200,13 @@ _ROLES = with_tables("""
         GROUP BY contact) v ON v.contact = u.supplier_id""")
 
 
-def _append(log: str, key: str, planner: str, vendor: str, user: str, kinds: tuple[str, str], qty: tuple[str, str, str]) -> str:
+def _append(log: str, key: str, planner: str, vendor: str, user: str, kinds: tuple[str, str], qty: tuple[str, str, str],
+            whole: bool = True) -> str:
     kind, note = kinds
     a, b, c = qty
+    before = f"SELECT * FROM {log} UNION ALL BY NAME" if whole else ""
     return with_tables(f"""
-        SELECT * FROM {log}
-        UNION ALL BY NAME
+        {before}
         SELECT (SELECT max({key}) FROM {log}) + row_number() OVER (ORDER BY ord) AS {key}, '{planner}' AS planner_id,
                '{vendor}' AS supplier_id, product, non_gsa AS {a}, gsa AS {b}, fc AS {c}, kind AS {kind}, note AS {note},
                '{user}' AS created_by, {NOW} AS creation_date, '{user}' AS updated_by, {NOW} AS updation_date,
@@ -212,9 +214,7 @@ def _append(log: str, key: str, planner: str, vendor: str, user: str, kinds: tup
         FROM fx_revision_batch""")
 
 
-_INSERTED = f"""
-    SELECT * FROM fx_requests
-    UNION ALL BY NAME
+_NEW = f"""
     SELECT (SELECT max(request_id) FROM fx_requests) + row_number() OVER (ORDER BY ord) AS request_id,
            '7' AS planner_id, CAST(NULL AS VARCHAR) AS supplier_id, product_family, product_line, product,
            request_quantity, request_type, request_comments, '7' AS created_by, {NOW} AS creation_date,
@@ -225,6 +225,7 @@ _INSERTED = f"""
     WHERE product_family IS NOT NULL AND product_line IS NOT NULL AND product IS NOT NULL
       AND request_quantity IS NOT NULL AND request_type IS NOT NULL AND request_comments IS NOT NULL
       AND approver IS NOT NULL"""
+_INSERTED = f"SELECT * FROM fx_requests UNION ALL BY NAME {_NEW}"
 _KEPT = """
     SELECT * FROM inserted r WHERE NOT EXISTS (
         SELECT 1 FROM fx_remove_requests d
@@ -256,6 +257,12 @@ _HITS = f"""
                || ']</U><BR/>' || coalesce(u.message, '') || '<BR/>' ELSE '' END AS addition
     FROM fx_task_actions u JOIN before t ON t.task_request_id = u.request_id AND (t.born IS NULL OR t.born < u.ord)
     WHERE u.action = 'UPDATE'"""
+_ACTION_STATUS = """
+    SELECT u.ord, CASE WHEN u.action = 'CREATE' THEN 'CREATED' WHEN u.action <> 'UPDATE' OR u.request_id IS NULL THEN 'IGNORED'
+                       WHEN EXISTS (SELECT 1 FROM before t WHERE t.task_request_id = u.request_id
+                                    AND (t.born IS NULL OR t.born < u.ord)) THEN 'UPDATED'
+                       ELSE 'UNKNOWN_TASK' END AS status
+    FROM fx_task_actions u"""
 _FOLDED = """
     SELECT id, string_agg(addition, '' ORDER BY ord) AS added, arg_max(status, ord) AS status,
            arg_max(login_value, ord) AS login_value
@@ -288,22 +295,27 @@ def statements() -> dict[str, str]:
     inserted, kept = ("inserted", _INSERTED), ("kept", _KEPT)
     tasks = (("created", _CREATED), ("before", _BEFORE), ("hits", _HITS), ("folded", _FOLDED))
     adhoc = (("judged", _JUDGED), ("decided", _STATUS))
+    adjustments = ("fx_adjustments", "adjustment_id", "PL1B2B", "5", "PL1B2B", ("adjustment_type", "adjustment_comments"),
+                   ("req_plan_non_gsa_adj", "req_plan_gsa_adj", "adjustment_quantity"))
+    commits = ("fx_commits", "commit_id", "PL1B2B", "5", "5", ("commit_reason", "commit_comments"),
+               ("non_gsa_commit_qty", "gsa_commit_qty", "commit_quantity"))
     return {
         "q_user_roles": _ROLES,
         "q_search_plnr": _search(("33210",), "ADJ_TYPE", "A"),
         "q_search_cm": _search(("3350", "3490"), "RESN_TYPE", "R"),
         "q_variance_rows": _variance_rows("PLNR"),
+        "q_variance_rows_unset": _variance_rows("PLNR"),
+        "q_variance_rows_family": _variance_rows("PLNR", family="i.product_family = 'Brand#13'"),
         "q_variance_rows_scoped": _variance_rows("CM", **_SOME),
         "q_variance_week": _variance_by_view("PLNR", "WEEK"),
         "q_variance_month": _variance_by_view("CM", "MONTH"),
         "q_variance_year": _variance_by_view("REQ", "YEAR"),
         "q_variance_week_single": _variance_by_view("PLNR", "WEEK", **_ONE),
-        "q_append_adjustments": _append(
-            "fx_adjustments", "adjustment_id", "PL1B2B", "5", "PL1B2B", ("adjustment_type", "adjustment_comments"),
-            ("req_plan_non_gsa_adj", "req_plan_gsa_adj", "adjustment_quantity")),
-        "q_append_commits": _append(
-            "fx_commits", "commit_id", "PL1B2B", "5", "5", ("commit_reason", "commit_comments"),
-            ("non_gsa_commit_qty", "gsa_commit_qty", "commit_quantity")),
+        "q_append_adjustments": _append(*adjustments),
+        "q_append_commits": _append(*commits),
+        "q_append_adjustments_delta": _append(*adjustments, whole=False),
+        "q_append_commits_delta": _append(*commits, whole=False),
+        "q_snapshot_stamp": with_tables("SELECT * REPLACE (CAST(4 AS INTEGER) AS week_id) FROM fx_forecast"),
         "q_exceptions_plnr": with_tables(_exceptions_plnr()),
         "q_exceptions_cm": with_tables(_exceptions_cm()),
         "q_fvc_plnr": with_tables(_pairs(_OWNED)),
@@ -318,10 +330,13 @@ def statements() -> dict[str, str]:
             "SELECT product_family, product_line, product, creation_date AS request_date, request_quantity, "
             "request_type, request_comments, approver_id AS approver FROM fx_requests"),
         "q_requests_insert": with_tables("SELECT * FROM inserted", inserted),
+        "q_requests_delta": with_tables(_NEW),
         "q_requests_delete": with_tables("SELECT * FROM kept", inserted, kept),
         "q_requests_approval": with_tables("SELECT * FROM settled", inserted, kept, ("settled", _SETTLED)),
         "q_tasks_create": with_tables("SELECT * EXCLUDE (born) FROM created", ("created", _CREATED)),
         "q_tasks_update": with_tables("SELECT * FROM updated", *tasks, ("updated", _UPDATED)),
+        "q_tasks_status": with_tables("SELECT * FROM statuses", ("created", _CREATED), ("before", _BEFORE),
+                                      ("statuses", _ACTION_STATUS)),
         "q_preferences": with_tables(
             "SELECT * FROM fx_preferences WHERE user_id IN (SELECT user_id FROM fx_preference_batch)"),
         "q_preferences_replace": with_tables(
@@ -351,4 +366,6 @@ def statements() -> dict[str, str]:
             FROM decided WHERE status = 'ACCEPTED'""", *adhoc),
         "q_compare_last": _compare("(f.demand_date - INTERVAL 7 DAY)"),
         "q_compare_current": _compare("f.demand_date"),
+        "q_compare_weeks": _compare("f.demand_date", (
+            f"{week('f.demand_date')} = 3", "year(f.demand_date - INTERVAL 7 DAY) = 1998")),
     }

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def null_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def normalized(df: DataFrame) -> DataFrame:
+    """Every empty text of a frame as NULL."""
+    return df.withColumns({f.name: null_if_empty(F.col(f.name)) for f in df.schema.fields
+                           if isinstance(f.dataType, StringType)})
+
+
 def supplier_key(supplier: Column) -> Column:
     """Supplier text of a forecast row as it is matched with vendor names."""
     return null_if_empty(F.upper(F.translate(supplier, ".", "")))
@@ -21,8 +28,8 @@ def clean_department(department: Column) -> Column:
 
 
 def join_text(*parts: Column | str) -> Column:
-    """Concatenation in which a NULL part adds nothing."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])
+    """Concatenation in which a NULL part adds nothing; of nothing at all it is NULL."""
+    return null_if_empty(F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts]))
 
 
 def contains_pattern(column: Column, pattern: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplyplan.functions.text import clean_department, null_if_empty
+from supplyplan.functions.text import clean_department, normalized, null_if_empty
 from supplyplan.operators.panels import PILOT_VENDORS
 from supplyplan.plans.scope import ORGANIZATION, collaborating
 from supplyplan.plans.skew import lookup_join
@@ -70,15 +70,15 @@ def search_criteria(t: Tables, role: str, vendors: Sequence[int] = PILOT_VENDORS
         return F.when(keep, F.struct(F.lit(name).alias("role"), value.alias("role_id")))
 
     from_items = (
-        t.item_master.select(F.explode(F.array_compact(F.array(
+        normalized(t.item_master.select("part_name", "product_family", "dept")).select(F.explode(F.array_compact(F.array(
             entry("PRODUCT", wanted_part, F.substring(part, 1, LIST_WIDTH)),
             entry("PRODUCT_FAMILY", family.isNotNull(), F.substring(family, 1, LIST_WIDTH)),
             entry("DEPARTMENT", dept.isNotNull(), clean_department(dept))))).alias("e"))
         .select("e.role", "e.role_id", nothing.alias("role_value")))
     lists = [
-        entries(t.suppliers.where(F.col("vendor_id").isin(list(vendors))), "VENDOR",
+        entries(normalized(t.suppliers).where(F.col("vendor_id").isin(list(vendors))), "VENDOR",
                 F.col("vendor_id").cast("string"), F.col("vendor_name")),
-        entries(t.planners.where(collaborating(organization)), "PLANNER",
+        entries(normalized(t.planners).where(collaborating(organization)), "PLANNER",
                 F.col("planner_code"), F.col("description")),
         from_items,
         entries(t.suppliers.sparkSession.range(1), "PRODUCT_LINE", F.lit(PRODUCT_LINE), nothing),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplyplan.functions.quantities import total_commit, total_forecast
+from supplyplan.functions.text import null_if_empty
 from supplyplan.plans.scope import Scope, owned_items, planned_items, vendor_keys
 from supplyplan.plans.skew import lookup_join
 from supplyplan.plans.spine import Plan, load_plan, plan_rows, plan_totals, sum_measures
@@ -83,7 +84,7 @@ def forecast_commit_receive(t: Tables, role: str, login: int, k: int = 5, plan:
 
 def open_tasks(t: Tables, role: str, login: int) -> DataFrame:
     """Tasks not closed: a planner's own ones, or those sent to the manufacturer by name."""
-    tasks = t.tasks.where(F.upper("task_status") != "CLOSE")
+    tasks = t.tasks.where(F.upper(null_if_empty(F.col("task_status"))) != "CLOSE")
     if role == PLANNER:
         tasks = tasks.where(F.col("created_by") == str(login))
     elif role == MANUFACTURER:
@@ -123,10 +124,15 @@ class Dashboard:
         self.kept.unpersist()
 
 
-def dashboard(t: Tables, role: str, login: int, vendors: Sequence[int] = PILOT_VENDORS) -> Dashboard:
-    """All panels of one login, over one scope and one set of plan sums (kept until released)."""
+def dashboard(t: Tables, role: str, login: int, vendors: Sequence[int] = PILOT_VENDORS, keep: bool = True) -> Dashboard:
+    """All panels of one login, over one scope and one set of plan sums.
+
+    The sums, by counterparty and demand date as the panels need them, are kept until released; with `keep` false
+    they are not kept, which serves a caller that reads all panels at once.
+    """
     plan = load_plan(t, login_scope(t, role, login), rows=True)
-    sums = _sums(plan, role).persist()
+    sums = sum_measures(_sums(plan, role), ["supplier_key" if role == PLANNER else "planner_code", "demand_date"])
+    sums = sums.persist() if keep else sums
     return Dashboard(
         exceptions_by_counterparty(t, role, login, plan, sums),
         forecast_vs_commit(t, role, login, plan),

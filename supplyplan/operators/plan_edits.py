@@ -12,46 +12,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplyplan.functions.calendar import plan_week, plan_week_of, timestamp_literal
-from supplyplan.plans.ledger import append, next_id, numbered
-from supplyplan.plans.sizing import Tuning, measure
+from supplyplan.functions.text import normalized
+from supplyplan.plans.ledger import aligned, append, next_id, numbered
+from supplyplan.plans.sizing import Size, Tuning, measure
 from supplyplan.plans.skew import lookup_join
 from supplyplan.tables import Tables
 
 
+# a date's plan week, or none
+_WEEKS = 54
+
+
 def _stamped(rows: DataFrame, user, as_of: date | datetime) -> DataFrame:
     now = timestamp_literal(as_of)
     return rows.withColumns({"created_by": user, "creation_date": now, "updated_by": user, "updation_date": now,
                              "week_id": F.lit(plan_week_of(as_of))})
 
 
-def append_adjustments(adjustments: DataFrame, batch: DataFrame, planner: str, vendor: str,
-                       as_of: date | datetime) -> DataFrame:
-    """Add planner adjustments as new revisions.
+def new_adjustments(adjustments: DataFrame, batch: DataFrame, planner: str, vendor: str,
+                    as_of: date | datetime) -> DataFrame:
+    """The revisions that a batch of planner adjustments adds to the log, of which only the greatest id is read.
 
-    Batch: ord, product, monday, non_gsa_adjustment, gsa_adjustment, adjustment,
+    Store them with `append_rows`. Batch: ord, product, monday, non_gsa_adjustment, gsa_adjustment, adjustment,
     adjustment_type, adjustment_comment.
     """
-    rows = numbered(batch, "ord", next_id(adjustments, "adjustment_id"), "adjustment_id").select(
+    rows = numbered(normalized(batch), "ord", next_id(adjustments, "adjustment_id"), "adjustment_id").select(
         "adjustment_id", F.lit(planner).alias("planner_id"), F.lit(vendor).alias("supplier_id"), "product",
         F.col("non_gsa_adjustment").alias("req_plan_non_gsa_adj"), F.col("gsa_adjustment").alias("req_plan_gsa_adj"),
         F.col("adjustment").alias("adjustment_quantity"), "adjustment_type",
         F.col("adjustment_comment").alias("adjustment_comments"), F.col("monday").alias("demand_date"))
-    return append(adjustments, _stamped(rows, F.lit(planner), as_of))
+    return aligned(_stamped(rows, F.lit(planner), as_of), adjustments)
 
 
-def append_commits(commits: DataFrame, batch: DataFrame, planner: str, vendor: str,
-                   as_of: date | datetime) -> DataFrame:
-    """Add supplier commits as new revisions.
+def append_adjustments(adjustments: DataFrame, batch: DataFrame, planner: str, vendor: str,
+                       as_of: date | datetime) -> DataFrame:
+    """The log with the new adjustments of a batch."""
+    return adjustments.unionByName(new_adjustments(adjustments, batch, planner, vendor, as_of))
+
 
-    Batch: ord, product, monday, non_gsa_commit, gsa_commit, commit, adjustment_type (the
+def new_commits(commits: DataFrame, batch: DataFrame, planner: str, vendor: str, as_of: date | datetime) -> DataFrame:
+    """The revisions that a batch of supplier commits adds to the log, of which only the greatest id is read.
+
+    Store them with `append_rows`. Batch: ord, product, monday, non_gsa_commit, gsa_commit, commit, adjustment_type (the
     reason), adjustment_comment.
     """
-    rows = numbered(batch, "ord", next_id(commits, "commit_id"), "commit_id").select(
+    rows = numbered(normalized(batch), "ord", next_id(commits, "commit_id"), "commit_id").select(
         "commit_id", F.lit(planner).alias("planner_id"), F.lit(vendor).alias("supplier_id"), "product",
         F.col("non_gsa_commit").alias("non_gsa_commit_qty"), F.col("gsa_commit").alias("gsa_commit_qty"),
         F.col("commit").alias("commit_quantity"), F.col("adjustment_type").alias("commit_reason"),
         F.col("adjustment_comment").alias("commit_comments"), F.col("monday").alias("demand_date"))
-    return append(commits, _stamped(rows, F.lit(vendor), as_of))
+    return aligned(_stamped(rows, F.lit(vendor), as_of), commits)
+
+
+def append_commits(commits: DataFrame, batch: DataFrame, planner: str, vendor: str,
+                   as_of: date | datetime) -> DataFrame:
+    """The log with the new commits of a batch."""
+    return commits.unionByName(new_commits(commits, batch, planner, vendor, as_of))
 
 
 def adhoc_status(t: Tables, batch: DataFrame) -> DataFrame:
@@ -64,9 +80,13 @@ def adhoc_status(t: Tables, batch: DataFrame) -> DataFrame:
     meets no other.
     """
     order = F.col("ord")
-    asked = batch.withColumn("request_week", plan_week(F.col("forecast_date")))
+    asked = normalized(batch).withColumn("request_week", plan_week(F.col("forecast_date")))
     products = asked.select("product").where("product IS NOT NULL").distinct()
-    few = measure(products=products)["products"].fits(Tuning.of(batch.sparkSession))
+    known = measure(products=products)["products"]
+    few = known.fits(Tuning.of(batch.sparkSession))
+    # a product has at most one row per plan week, so what the batch can meet needs no scan to be measured
+    per_product = Size(known.rows, known.bytes + 16 * known.rows) if few else None
+    per_week = Size(_WEEKS * known.rows, _WEEKS * (known.bytes + 32 * known.rows)) if few else None
 
     def of_batch(df: DataFrame) -> DataFrame:
         # a small batch cuts the plan tables down before they are aggregated
@@ -80,14 +100,14 @@ def adhoc_status(t: Tables, batch: DataFrame) -> DataFrame:
                .groupBy("product", "request_week").agg(F.lit(True).alias("planned")))
     vendors = (t.suppliers.where(F.col("vendor_id").isNotNull()).groupBy("vendor_id")
                .agg(F.count(F.lit(1)).alias("vendors"), F.first("vendor_name").alias("vendor_name")))
-    checked = lookup_join(asked, parts, ["product"], "left", left_spread=order)
-    checked = lookup_join(checked, planned, ["product", "request_week"], "left", left_spread=order)
+    checked = lookup_join(asked, parts, ["product"], "left", per_product, left_spread=order)
+    checked = lookup_join(checked, planned, ["product", "request_week"], "left", per_week, left_spread=order)
     checked = lookup_join(checked, vendors, ["vendor_id"], "left", left_spread=order)
     sole_vendor = F.coalesce(F.col("vendors") == 1, F.lit(False))
     open_slot = F.col("known").isNotNull() & F.col("planned").isNull()
     firsts = (checked.where(open_slot & sole_vendor & F.col("request_week").isNotNull())
               .groupBy("product", "request_week").agg(F.min("ord").alias("first_ord")))
-    judged = lookup_join(checked, firsts, ["product", "request_week"], "left", left_spread=order)
+    judged = lookup_join(checked, firsts, ["product", "request_week"], "left", per_week, left_spread=order)
     status = (F.when(F.col("known").isNull(), "INVALID_PRODUCT")
               .when(F.col("planned").isNotNull() | (order > F.col("first_ord")), "PRESENT")
               .when(~sole_vendor, "VENDOR_ERROR")

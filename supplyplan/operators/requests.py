@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplyplan.functions.calendar import plan_week_of, timestamp_literal
-from supplyplan.plans.ledger import append, next_id, numbered
+from supplyplan.functions.text import normalized, null_if_empty
+from supplyplan.plans.ledger import aligned, append, next_id, numbered
 from supplyplan.plans.skew import lookup_join
 
 # Columns that must all be filled for a row of a batch to count.
@@ -27,25 +28,32 @@ def _all_filled(columns: tuple[str, ...]) -> Column:
 
 
 def pending() -> Column:
-    status = F.col("approval_status")
+    status = null_if_empty(F.col("approval_status"))
     return status.isNull() | (status == "NEW")
 
 
-def insert_requests(requests: DataFrame, new: DataFrame, login: str, as_of: date | datetime) -> DataFrame:
-    """Add the completely filled requests of a batch (ordered by `ord`), pending approval."""
+def new_requests(requests: DataFrame, new: DataFrame, login: str, as_of: date | datetime) -> DataFrame:
+    """The rows that the completely filled requests of a batch (ordered by `ord`) add to the ledger, pending approval.
+
+    Of the ledger only the greatest id is read. Store them with `append_rows`."""
     now = timestamp_literal(as_of)
-    valid = new.where(_all_filled(NEW_REQUIRED))
+    valid = normalized(new).where(_all_filled(NEW_REQUIRED))
     rows = numbered(valid, "ord", next_id(requests, "request_id"), "request_id").withColumnRenamed(
         "approver", "approver_id").withColumns({
             "planner_id": F.lit(login), "created_by": F.lit(login), "creation_date": now,
             "updated_by": F.lit(login), "updation_date": now, "approved_date": now,
             "week_id": F.lit(plan_week_of(as_of))})
-    return append(requests, rows)
+    return aligned(rows, requests)
+
+
+def insert_requests(requests: DataFrame, new: DataFrame, login: str, as_of: date | datetime) -> DataFrame:
+    """The ledger with the new requests of a batch."""
+    return append(requests, new_requests(requests, new, login, as_of))
 
 
 def remove_requests(requests: DataFrame, remove: DataFrame, login: str) -> DataFrame:
     """Delete the login's own requests that equal a completely filled row of the batch."""
-    gone = remove.where(_all_filled(REMOVE_REQUIRED)).select(
+    gone = normalized(remove).where(_all_filled(REMOVE_REQUIRED)).select(
         F.lit(login).alias("planner_id"), F.lit(login).alias("created_by"), *_MATCH).distinct()
     typed = gone.select(*[F.col(c).cast(requests.schema[c].dataType).alias(c) for c in gone.columns])
     return lookup_join(requests, typed, typed.columns, "left_anti").select(*requests.columns)
@@ -54,10 +62,11 @@ def remove_requests(requests: DataFrame, remove: DataFrame, login: str) -> DataF
 def settle_approvals(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Move pending requests of any user on, as the approval workflow answered.
 
-    Results: request_id, workflow_id, ok - at most one row per request. A pending request
-    without a result stays pending.
+    Results: request_id, workflow_id, ok. Of several answers to a request the one with the greatest workflow id counts.
+    A pending request without a result stays pending.
     """
-    answers = results.select(F.col("request_id"), "workflow_id", "ok", F.lit(True).alias("answered"))
+    answers = results.groupBy("request_id").agg(F.max(F.struct("workflow_id", "ok")).alias("a")).select(
+        "request_id", "a.workflow_id", "a.ok", F.lit(True).alias("answered"))
     moved = pending() & F.col("answered").isNotNull()
     both = lookup_join(requests, answers, ["request_id"], "left")
     return both.withColumns({

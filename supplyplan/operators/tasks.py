@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplyplan.functions.calendar import stamp_text, timestamp_literal
-from supplyplan.functions.text import join_text
+from supplyplan.functions.text import join_text, normalized
 from supplyplan.plans.ledger import aligned, next_id, numbered
 from supplyplan.plans.skew import lookup_join
 
 
 def created_tasks(tasks: DataFrame, actions: DataFrame, as_of: date | datetime) -> DataFrame:
     """New tasks of a batch, with the `ord` of the action that made them."""
-    made = numbered(actions.where("action = 'CREATE'"), "ord", next_id(tasks, "task_request_id"), "task_request_id")
+    made = numbered(normalized(actions).where("action = 'CREATE'"), "ord", next_id(tasks, "task_request_id"), "task_request_id")
     now = timestamp_literal(as_of)
     message = join_text(f"<U>{stamp_text(as_of)} [", F.col("p_from"), "]</U><BR/>", F.col("message"), "<BR/>")
     return made.select(
@@ -31,7 +31,7 @@ def created_tasks(tasks: DataFrame, actions: DataFrame, as_of: date | datetime)
 def apply_task_actions(tasks: DataFrame, actions: DataFrame, as_of: date | datetime) -> DataFrame:
     """The task table after a batch of actions, taken in `ord` order.
 
-    CREATE adds a task, UPDATE sets the status and appends a stamped message (signed by
+    A text that is no number in request_id fails that action alone; see `task_action_status`. CREATE adds a task, UPDATE sets the status and appends a stamped message (signed by
     the sender for planners, by the receiver for manufacturers; other roles append
     nothing), other actions and unknown task ids do nothing. An update of a task created
     in the same batch counts if it comes later.
@@ -42,8 +42,8 @@ def apply_task_actions(tasks: DataFrame, actions: DataFrame, as_of: date | datet
     """
     created = created_tasks(tasks, actions, as_of)
     born = created.select(F.col("task_request_id").alias("request_id"), F.col("ord").alias("born"))
-    updates = actions.where("action = 'UPDATE' AND request_id IS NOT NULL").withColumn(
-        "request_id", F.col("request_id").cast("long"))
+    updates = normalized(actions.withColumn("request_id", F.col("request_id").try_cast("long"))).where(
+        "action = 'UPDATE' AND request_id IS NOT NULL")
     updates = lookup_join(updates, born, ["request_id"], "left", left_spread=F.col("ord")).where(
         F.col("born").isNull() | (F.col("ord") > F.col("born")))
     sign = (F.when(F.col("login_type") == "PLNR", F.struct(F.col("p_from").alias("who")))
@@ -63,3 +63,20 @@ def apply_task_actions(tasks: DataFrame, actions: DataFrame, as_of: date | datet
         "updated_by": F.when(touched, F.col("last.login_value")).otherwise(F.col("updated_by")),
         "updation_date": F.when(touched, timestamp_literal(as_of)).otherwise(F.col("updation_date")),
     }).select(*tasks.columns)
+
+
+def task_action_status(tasks: DataFrame, actions: DataFrame, as_of: date | datetime) -> DataFrame:
+    """ord and status of every action: CREATED, UPDATED, BAD_ID, UNKNOWN_TASK (also a task that a later action of the
+    batch makes) or IGNORED."""
+    asked = normalized(actions.select("ord", "action", F.col("request_id").cast("string").alias("asked")))
+    asked = asked.withColumn("request_id", F.col("asked").try_cast("long"))
+    known = tasks.select(F.col("task_request_id").alias("request_id"), F.lit(None).cast("long").alias("born")).unionByName(
+        created_tasks(tasks, actions, as_of).select(F.col("task_request_id").alias("request_id"),
+                                                    F.col("ord").cast("long").alias("born"))).where("request_id IS NOT NULL")
+    first = known.groupBy("request_id").agg(F.min(F.coalesce("born", F.lit(-(1 << 63)))).alias("from"))
+    met = lookup_join(asked, first, ["request_id"], "left", left_spread=F.col("ord"))
+    update = F.col("action") == "UPDATE"
+    return met.select("ord", F.when(F.col("action") == "CREATE", "CREATED")
+                      .when(update & F.col("asked").isNotNull() & F.col("request_id").isNull(), "BAD_ID")
+                      .when(update & F.col("asked").isNotNull() & (F.col("ord") > F.col("from")), "UPDATED")
+                      .when(update & F.col("asked").isNotNull(), "UNKNOWN_TASK").otherwise("IGNORED").alias("status"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,26 +28,26 @@ def next_id(ledger: DataFrame, column: str) -> int:
 
 
 def numbered(batch: DataFrame, order_by: str, first: int, name: str) -> DataFrame:
-    """Consecutive ids from `first` in the order of a unique numeric column.
+    """Consecutive ids from `first` in the order of a numeric column, rows without a value first.
 
-    A batch that fits one task is numbered by one window. A larger one is cut at its
-    quantiles; each piece is numbered by its own task and shifted by the sizes of the
-    pieces before it. The cuts are constants of the plan, so repeated tasks agree.
+    The batch is cut at its quantiles into pieces that fit one task (one piece, if it is small); each is numbered by
+    its own task and shifted by the sizes of the pieces before it. The cuts are constants of the plan, so repeated
+    tasks agree. Rows with equal values are numbered in any order. One writer at a time: `first` is read beforehand.
     """
-    tuning = Tuning.of(batch.sparkSession)
     rows = batch.count()
-    pieces = -(-rows // tuning.window_rows)
-    if pieces <= 1:
-        position = F.row_number().over(Window.orderBy(order_by))
-        return batch.withColumn(name, (position + F.lit(first - 1)).cast("long"))
-    cuts = sorted(set(batch.approxQuantile(order_by, [i / pieces for i in range(1, pieces)], 0.1 / pieces)))
-    piece = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_piece")
-    cut = piece.transform(batch.withColumn("_at", F.col(order_by).cast("double"))).drop("_at")
+    pieces = -(-rows // Tuning.of(batch.sparkSession).window_rows)
+    at = F.col(order_by).cast("double")
+    cuts = sorted(set(batch.select(at.alias("at")).approxQuantile(
+        "at", [i / pieces for i in range(1, pieces)], 0.1 / pieces))) if pieces > 1 else []
+    # a row without a value is above no cut, and so in the first piece
+    piece = reduce(add, (F.coalesce((at >= c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    cut = batch.withColumn("_piece", piece)
     before, offsets = 0, []
-    for r in cut.groupBy("_piece").count().orderBy("_piece").collect():  # one row per piece
+    for r in cut.groupBy("_piece").count().orderBy("_piece").collect() if cuts else []:  # one row per piece
         offsets.append((r["_piece"], before))
         before += r["count"]
-    shift = batch.sparkSession.createDataFrame(offsets, "_piece double, _before long")
+    shift = F.lit(first - 1)
+    for number, rows_before in offsets:
+        shift = F.when(F.col("_piece") == number, first - 1 + rows_before).otherwise(shift)
     position = F.row_number().over(Window.partitionBy("_piece").orderBy(order_by))
-    return (cut.join(F.broadcast(shift), "_piece")
-            .withColumn(name, position + F.col("_before") + F.lit(first - 1)).drop("_piece", "_before"))
+    return cut.withColumn(name, (position + shift).cast("long")).drop("_piece")

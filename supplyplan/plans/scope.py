@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplyplan.functions.text import clean_department, contains_pattern
+from supplyplan.functions.text import clean_department, contains_pattern, null_if_empty
 from supplyplan.tables import Tables
 
 
@@ -31,6 +31,8 @@ PLANNER_SUFFIXES = ("CM", "B2B")
 class VarianceFilter:
     """Filters of the variance and comparison reports.
 
+    An empty text stands for None everywhere.
+
     planners: planner codes; a None element stands for any planner, an empty list for none.
     vendors: vendor ids, or EVERY; an empty list gives no rows.
     product: substring pattern of the part name (% and _ are wildcards).
@@ -45,10 +47,15 @@ class VarianceFilter:
     department: str | None = None
     organization: int = ORGANIZATION
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "planners", [p or None for p in self.planners])
+        for name in ("product", "family", "department"):
+            object.__setattr__(self, name, getattr(self, name) or None)
+
     @classmethod
     def single(cls, planner: str | None, vendor: int | None, **other) -> VarianceFilter:
         """One planner and one vendor; a missing value matches nothing."""
-        return cls(planners=[] if planner is None else [planner],
+        return cls(planners=[planner] if planner else [],
                    vendors=[] if vendor is None else [vendor], **other)
 
 
@@ -85,8 +92,8 @@ def planner_test(planners: Sequence[str | None]) -> Column:
 
 
 def item_test(f: VarianceFilter) -> Column:
-    part, family, dept = F.col("part_name"), F.col("product_family"), clean_department(F.col("dept"))
-    by_part = part.isNotNull() if f.product is None else contains_pattern(part, f.product)
+    part, family, dept = F.col("part_name"), null_if_empty(F.col("product_family")), clean_department(F.col("dept"))
+    by_part = null_if_empty(part).isNotNull() if f.product is None else contains_pattern(part, f.product)
     by_family = family.isNotNull() if f.family is None else family == f.family
     by_dept = dept.isNotNull() if f.department is None else dept == f.department
     return by_part & by_family & by_dept

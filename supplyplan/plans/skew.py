@@ -67,6 +67,12 @@ def _every(pieces: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))
 
 
+def with_key_types(right: DataFrame, left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The right side with its keys in the left side's types; a value that doesn't fit them meets nothing."""
+    return right.withColumns({k: F.col(k).try_cast(left.schema[k].dataType) for k in keys
+                              if left.schema[k].dataType != right.schema[k].dataType})
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
               left_salts: dict[int, int] | None = None, right_salts: dict[int, int] | None = None,
               left_spread: Column | None = None, right_spread: Column | None = None) -> DataFrame:
@@ -77,13 +83,11 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
     must give the same answer when a task is repeated; the default is a hash of the row.
     """
     keys, left_salts, right_salts = list(keys), left_salts or {}, right_salts or {}
+    right = with_key_types(right, left, keys)
     if right_salts and how not in ("inner", "left"):
         raise ValueError(f"the right side cannot be dealt out in a {how} join")
     if not left_salts and not right_salts:
         return left.join(right, keys, how)
-    for k in keys:
-        if left.schema[k].dataType != right.schema[k].dataType:
-            raise TypeError(f"join key {k} differs in type")
 
     def deal(df: DataFrame, spread: Column | None, salts: dict[int, int]) -> Column:
         spread = spread if spread is not None else F.xxhash64(*df.columns)
@@ -110,6 +114,7 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
                 size: Size | None = None, left_spread: Column | None = None) -> DataFrame:
     """Join a table with a lookup: broadcast if measured small, else shuffle with heavy keys dealt out."""
     tuning = Tuning.of(left.sparkSession)
+    right = with_key_types(right, left, keys)
     size = size or measure(right=right)["right"]
     if size.fits(tuning):
         return left.join(F.broadcast(right), list(keys), how)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from supplyplan.functions.calendar import as_datetime
 from supplyplan.sources.schemas import SCHEMAS
 
 # Fixed values (id, value, type): adjustment types A and commit reasons R.
@@ -26,7 +28,9 @@ SEED_REASONS = (
 )
 
 
-def seed_reasons(spark: SparkSession, more: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
-    """The seed list and the deployment's own rows (those that name the company)."""
-    rows = [(*r, None) for r in (*SEED_REASONS, *more)]
+def seed_reasons(spark: SparkSession, more: Sequence[tuple[str, str, str]] = (),
+                 as_of: date | datetime | None = None) -> DataFrame:
+    """The seed list and the deployment's own rows (those that name the company), created at `as_of`."""
+    made = None if as_of is None else as_datetime(as_of).replace(microsecond=0)
+    rows = [(*r, made) for r in (*SEED_REASONS, *more)]
     return spark.createDataFrame(rows, SCHEMAS["adj_reasons"])

@@ -19,13 +19,22 @@ PLAN_KEYS = {
 
 
 def read_tables(spark: SparkSession, root: str, *names: str) -> Tables:
-    """Scan `root`/<table> (Parquet) with the declared schemas; all tables unless named."""
-    return Tables(**{n: spark.read.schema(SCHEMAS[n]).parquet(os.path.join(root, n)) for n in names or SCHEMAS})
+    """Scan `root`/<table> (Parquet) with the declared schemas; all tables unless named.
+
+    The plan tables lie in a folder for each snapshot week, so that a report of one week opens no other.
+    """
+    return Tables(**{n: spark.read.schema(SCHEMAS[n]).parquet(os.path.join(root, n)).select(*SCHEMAS[n].names)
+                     for n in names or SCHEMAS})
+
+
+def _writer(df: DataFrame, table: str, mode: str):
+    writer = df.write.mode(mode)
+    return writer.partitionBy("week_id") if table in PLAN_KEYS else writer
 
 
 def append_rows(df: DataFrame, root: str, table: str) -> None:
     """Add rows to a stored table without reading it."""
-    df.write.mode("append").parquet(os.path.join(root, table))
+    _writer(df, table, "append").parquet(os.path.join(root, table))
 
 
 def write_version(df: DataFrame, root: str, table: str) -> None:
@@ -33,7 +42,7 @@ def write_version(df: DataFrame, root: str, table: str) -> None:
 
     A ledger cannot be overwritten while the plan that makes it still reads it.
     """
-    df.write.mode("errorifexists").parquet(os.path.join(root, table))
+    _writer(df, table, "errorifexists").parquet(os.path.join(root, table))
 
 
 def save_plan_table(df: DataFrame, table: str, name: str, buckets: int, path: str | None = None) -> None:

@@ -356,7 +356,7 @@ def test_task_actions(spark):
     assert sorted(out) == [1, 2, 3]
     assert out[1].task_message == (f"m<BR/><U>{at} [me]</U><BR/>early<BR/><BR/><U>{at} [you]</U><BR/>late<BR/>")
     assert (out[1].task_status, out[1].updated_by, out[1].created_by) == ("Close", "L9", "c")
-    assert (out[2].task_status, out[2].task_message or "", out[2].updated_by) == (None, "", "L7")
+    assert (out[2].task_status, out[2].task_message, out[2].updated_by) == (None, None, "L7")
     # the update before the creation does not reach the new task
     assert out[3].task_message == f"<U>{at} [me]</U><BR/><BR/><BR/><U>{at} [me]</U><BR/>x<BR/>"
     assert (out[3].task_approval_id, out[3].variances, out[3].forecast_date, out[3].updated_by) == (3, "4", "2020-01-20", "L8")
@@ -384,3 +384,58 @@ def test_adhoc(spark):
     assert [(r.adjustment_id, r.demand_date, r.req_plan_non_gsa_adj, r.supplier_id, r.created_by) for r in new] == [
         (21, MON, 1, "1", "XCM"), (22, None, 1, "2", "XCM"), (23, None, 1, "2", "XCM")]
     assert forecast.schema == t.forecast.schema and adjustments.schema == t.adjustments.schema
+
+
+def test_numbering_keeps_rows_without_an_order(spark, tuned):
+    """Every size of batch numbers rows without or with equal order values, first those without."""
+    from supplyplan.plans.ledger import numbered
+
+    batch = spark.createDataFrame([(None, "a"), (3, "b"), (None, "c"), (3, "d"), (1, "e"), (2, "f"), (9, "g")], "ord long, v string")
+    for limit in (100, 4, 2, 1):
+        tuned(windowRows=limit)
+        rows = {r.v: r.id for r in numbered(batch, "ord", 10, "id").collect()}
+        assert sorted(rows.values()) == list(range(10, 17))
+        assert {rows["a"], rows["c"]} == {10, 11} and rows["e"] == 12 and rows["f"] == 13 and rows["g"] == 16
+
+
+def test_key_types_do_not_decide(spark, tuned):
+    current = table(spark, "preferences", dict(user_id=1, user_name="a", preference_name="V", preference_value="x"),
+                    dict(user_id=2, user_name="b", preference_name="V", preference_value="x"))
+    batch = spark.createDataFrame([(1, "a", "V", "y")], "user_id int, user_name string, preference_name string, preference_value string")
+    expected = [(1, "y"), (2, "x")]
+    got = lambda: sorted((r.user_id, r.preference_value) for r in preferences.replace_preferences(current, batch).collect())
+    assert got() == expected
+    tuned(broadcastBytes=-1, hotRows=1)
+    assert got() == expected
+
+
+def test_empty_text_is_null(spark):
+    f = VarianceFilter(planners=["", "X"], vendors=[1], product="", family="", department="")
+    assert (f.planners, f.product, f.family, f.department) == ([None, "X"], None, None, None)
+    current = table(spark, "requests", dict(request_id=1, planner_id="7", created_by="7", approval_status="", **_REQUEST))
+    new = _new(spark, dict(request_comments="", approver="A", **_REQUEST), dict(request_comments="c", approver="A", **{**_REQUEST, "product_line": ""}),
+               dict(request_comments="c", approver="A", **_REQUEST))
+    assert requests.new_requests(current, new, "7", AS_OF).count() == 1
+    answers = spark.createDataFrame([(1, "W1", True), (1, "W0", False)], "request_id long, workflow_id string, ok boolean")
+    done = requests.settle_approvals(current, answers).collect()
+    assert [(r.approval_status, r.approval_workflow_id) for r in done] == [("In Process", "W1")]
+
+
+def test_bad_task_id_fails_alone(spark):
+    current = table(spark, "tasks", dict(task_request_id=1, task_status="Open", task_message="m", created_by="c"))
+    columns = """ord long, action string, request_id string, login_type string, login_value string, planner string,
+        p_from string, supplier string, p_to string, product string, forecast_date date, variance int, status string,
+        subject string, message string"""
+    row = lambda o, action, rid: (o, action, rid, "PLNR", "L", "PL", "me", "S", "you", "P", MON, 1, "Close", "s", "x")
+    batch = spark.createDataFrame([row(1, "UPDATE", "one"), row(2, "UPDATE", "1"), row(3, "UPDATE", "5"), row(4, "OTHER", None),
+                                   row(5, "CREATE", None)], columns)
+    assert {r.ord: r.status for r in tasks.task_action_status(current, batch, AS_OF).collect()} == {
+        1: "BAD_ID", 2: "UPDATED", 3: "UNKNOWN_TASK", 4: "IGNORED", 5: "CREATED"}
+    assert {r.task_request_id: r.task_status for r in tasks.apply_task_actions(current, batch, AS_OF).collect()} == {
+        1: "Close", 2: "Close"}
+
+
+def test_seed_reasons_are_dated(spark):
+    rows = seed_reasons(spark, [("x", "y", "R")], AS_OF).collect()
+    assert {r.creation_date for r in rows} == {AS_OF} and len(rows) == len(SEED_REASONS) + 1
+    assert [(r.ar_id, r.ar_value, r.ar_type) for r in rows][:13] == list(SEED_REASONS)
