@@ -1,8 +1,9 @@
 """Links within candidate buckets, without all pairs of a bucket.
 
-Of each bucket two pivots meet all members, in two rounds with other pivots, and the links found make components.
-Only members of one bucket that are still in different components are then compared with each other. So no link
-between components is lost, and a bucket of thousands of alike members costs a few pairs for each.
+Of each bucket four pivots meet all members, and the links found make components. Three pivots are taken among the
+most central members, those that share most with others, for near copies of one text often resemble it more than each
+other. Only members of one bucket that are still in different components are then compared with each other. So no
+link between components is lost, and a bucket of thousands of alike members costs a few pairs for each.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import stored
 
-ROUNDS = 2
+CENTRAL = 3
 #: (size, size) -> whether members of these sizes can be linked
 Fits = Callable[[Column, Column], Column]
 
@@ -25,23 +26,19 @@ def _pair(left: str, right: str, fits: Fits) -> tuple[Column, Column, Column]:
             fits(F.col(f"{left}_n"), F.col(f"{right}_n")) & (F.col(left) != F.col(right)))
 
 
-def _star_pairs(members: DataFrame, salt: int, fits: Fits) -> DataFrame:
-    """Every member of a bucket with the bucket's two pivots, where they are in different components."""
-    ranked = members.withColumn("pivot", F.struct(F.xxhash64("rep", F.lit(salt)).alias("r"), "rep", "n", "label"))
-    pivots = ranked.groupBy("bucket").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).filter(
-        F.col("p.rep") != F.col("q.rep")).select("bucket", F.array("p", "q").alias("pivots"))
-    met = members.join(pivots, "bucket").select(
-        "rep", "label", F.col("n").alias("rep_n"), F.explode("pivots").alias("p")).select(
-        "rep", "rep_n", F.col("p.rep").alias("to"), F.col("p.n").alias("to_n"), "label", F.col("p.label").alias("to_label"))
+def _star_pairs(members: DataFrame, fits: Fits) -> DataFrame:
+    """Every member of a bucket with the bucket's pivots."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    weights = members.join(sizes, "bucket").groupBy("rep").agg(F.floor(4 * F.log(F.sum("size"))).alias("weight"))
+    ranked = members.join(weights, "rep")
+    central = [F.max(F.struct("weight", F.xxhash64("rep", F.lit(k)).alias("r"), "rep", "n")) for k in range(CENTRAL)]
+    any_one = F.min(F.struct(F.lit(0).cast("bigint").alias("weight"), F.xxhash64("rep").alias("r"), "rep", "n"))
+    pivots = ranked.groupBy("bucket").agg(F.array_distinct(F.transform(
+        F.array(*central, any_one), lambda p: F.struct(p["rep"].alias("rep"), p["n"].alias("n")))).alias("pivots"))
+    met = members.join(pivots, "bucket").select("rep", F.col("n").alias("rep_n"), F.explode("pivots").alias("p")).select(
+        "rep", "rep_n", F.col("p.rep").alias("to"), F.col("p.n").alias("to_n"))
     a, b, may = _pair("rep", "to", fits)
-    return met.filter(may & (F.col("label") != F.col("to_label"))).select(a, b).distinct()
-
-
-def _with_labels(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return members.withColumn("label", F.col("rep"))
-    return members.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "label", F.coalesce("label", "rep"))
+    return met.filter(may).select(a, b).distinct()
 
 
 def links_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Fits, band: Column) -> DataFrame:
@@ -50,16 +47,10 @@ def links_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame
     `fits` tells from the sizes n whether a pair can be linked; pairs that fit have a `band` of n that is equal or
     one apart.
     """
-    links = tested = None
-    for salt in range(ROUNDS):
-        pairs = _star_pairs(_with_labels(members, links), salt, fits)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"pairs-{salt}")
-        found = stored(verify(pairs), f"links-{salt}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-    apart = _with_labels(members, links)
+    tested = stored(_star_pairs(members, fits), "pairs")
+    links = stored(verify(tested), "links")
+    labels = components(links).withColumnRenamed("node", "rep")
+    apart = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     split = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
         "lo <> hi").select("bucket")
     apart = stored(apart.join(split, "bucket").withColumn("band", band), "apart")

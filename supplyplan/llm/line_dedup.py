@@ -33,6 +33,8 @@ from .textcodes import blocks, mix, prefix, run_hash, spans
 
 THRESHOLD = 2
 SHORTEST = 32
+#: columns that no table of documents has
+_ID, _GONE = "__line_dedup_id", "__line_dedup_gone"
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 _BLANK = np.zeros(256, bool)
@@ -231,7 +233,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = S
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, stays = [], []
-        for text, gone in zip(batch["text"].to_pylist(), batch["removed"].to_pylist()):
+        for text, gone in zip(batch["text"].to_pylist(), batch[_GONE].to_pylist()):
             kept = text
             if gone:
                 away = {g["line"] for g in gone}
@@ -240,11 +242,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stays.append(not gone or bool(kept.strip()))
         at = batch.schema.get_field_index("text")
         batch = batch.set_column(at, batch.schema.field("text"), pa.array(out, pa.string()))
-        yield batch.select([c for c in batch.schema.names if c not in ("doc", "removed")]).filter(pa.array(stays, pa.bool_()))
+        yield batch.select([c for c in batch.schema.names if c not in (_ID, _GONE)]).filter(pa.array(stays, pa.bool_()))
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """The documents, with all their columns, without the removed lines; documents of which no line is left go."""
-    gone = removed_lines(docs, threshold, shortest).filter(F.size("removed") > 0).select("doc", "removed")
-    marked = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).join(gone, "doc", "left")
+    gone = removed_lines(docs, threshold, shortest).filter(F.size("removed") > 0).select(
+        F.col("doc").alias(_ID), F.col("removed").alias(_GONE))
+    marked = docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).join(gone, _ID, "left")
     return arrow_map(marked, _cut, docs.schema)

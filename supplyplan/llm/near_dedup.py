@@ -1,12 +1,13 @@
 """Near-duplicate documents (operator 10): Order MinHash, verified by banded alignment.
 
-A document is the sequence of its shingles of five words. For each of many hash functions, the sketch takes the few
-smallest occurrence-labelled shingles and keeps them in text order, so that equal sketches speak for a small edit
-distance and not only for common shingles. Documents that share a sketch are candidates.
+A document is the sequence of its shingles of five words, labelled by their occurrence; the first occurrences stand for
+it, so that a phrase said two hundred times doesn't outweigh all the rest. For each of many hash functions, the sketch
+takes the few smallest of them and keeps them in text order, so that equal sketches speak for a small edit distance
+and not only for common shingles. Documents that share a sketch are candidates.
 
-A candidate pair is a link if its similarity is 0.8 or more. The similarity is that of a banded alignment, aligned
-shingles over shingles in either, found bit-parallel within the band outside which 0.8 can't be reached; where
-passages have moved, the exact Jaccard similarity of the shingle sets decides instead.
+A candidate pair is a link if its similarity is 0.8 or more: by banded alignment, aligned shingles over shingles in
+either, found bit-parallel within the band outside which 0.8 can't be reached; where passages have moved, by the exact
+Jaccard similarity of the sets, which no alignment exceeds.
 
 Documents with equal word sequences count once, and nothing emits all pairs of a group: see `grouping`.
 
@@ -33,8 +34,10 @@ from .textcodes import ALNUM, LOWER, blocks, mix, prefix, run_hash, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: at similarity 0.8, 0.8 ** 4 of the sketches agree; all 24 differ for 3 of a million pairs
+#: at similarity 0.8, about 0.8 ** 4 of the sketches agree; all 24 differ for 3 of a million pairs
 SKETCHES, TAKEN = 24, 4
+#: a column that no table of documents has
+_ID = "__near_dedup_id"
 
 
 def shingles(codes: np.ndarray, rows: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -47,18 +50,15 @@ def shingles(codes: np.ndarray, rows: np.ndarray, size: int = SHINGLE) -> tuple[
     return run_hash(prefix(codes), starts, np.minimum(starts + size, rows[row + 1])), at
 
 
-def labelled(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes with the number of the occurrence in their row mixed in, and the distinct hashes of each row."""
+def first_occurrences(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles whose occurrence label is one, in text order, and the index of each row's first."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((hashes, row))
+    order = np.lexsort((hashes, row))  # stable: of equal shingles the first in the text comes first
     h, r = hashes[order], row[order]
     opens = np.ones(len(h), bool)
     opens[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    first = np.flatnonzero(opens)
-    number = np.arange(len(h)) - first[np.cumsum(opens) - 1] if len(h) else np.zeros(0, np.int64)
-    out = np.empty_like(hashes)
-    out[order] = mix(h + number.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    return out, np.bincount(r[first], minlength=len(at) - 1)
+    keep = np.sort(order[opens])
+    return hashes[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(at) - 1))])
 
 
 def order_sketches(hashes: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
@@ -97,15 +97,14 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, _, _, rows = words(LOWER[data], offs, ALNUM)
             one, two = prefix(codes), prefix(mix(codes ^ np.uint64(0x5851F42D4C957F2D)))
             a, b = run_hash(one, rows[:-1], rows[1:]), run_hash(two, rows[:-1], rows[1:])
-            hashes, at = shingles(codes, rows)
-            own, distinct = labelled(hashes, at)
+            hashes, at = first_occurrences(*shingles(codes, rows))
             full = np.diff(at) > 0
-            sketches = order_sketches(own, at)
+            sketches = order_sketches(hashes, at)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(full * sketches.shape[1])]).astype(np.int32)), signed_flat(sketches))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                 pa.array(distinct.astype(np.int32)), lists], ["doc", "h1", "h2", "n", "sketches"])
+                 pa.array(np.diff(at).astype(np.int32)), lists], ["doc", "h1", "h2", "n", "sketches"])
 
 
 def signed_flat(a: np.ndarray) -> pa.Array:
@@ -116,7 +115,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for lo, hi, data, offs in blocks(batch["text"]):
             codes, _, _, rows = words(LOWER[data], offs, ALNUM)
-            hashes, at = shingles(codes, rows)
+            hashes, at = first_occurrences(*shingles(codes, rows))
             short = (hashes >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc"].slice(lo, hi - lo), pa.Array.from_buffers(
@@ -157,21 +156,15 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """The aligned similarity if it reaches `least`, else the Jaccard similarity of the sets."""
-    ua, na = np.unique(a, return_counts=True)
-    ub, nb = np.unique(b, return_counts=True)
-    if not len(ua) or not len(ub):
+    """The aligned similarity if it reaches `least`, else the Jaccard similarity."""
+    if not len(a) or not len(b):
         return 0.0
-    at = np.minimum(np.searchsorted(ua, ub), len(ua) - 1)
-    hit = ua[at] == ub
-    common = int(hit.sum())
-    jaccard = common / (len(ua) + len(ub) - common)
-    most = int(np.minimum(na[at[hit]], nb[hit]).sum())  # no alignment has more
-    if most / (len(a) + len(b) - most) >= least:
-        found = aligned(a, b, least)
-        if found >= least:
-            return found
-    return jaccard
+    common = len(np.intersect1d(a, b))
+    jaccard = common / (len(a) + len(b) - common)
+    if jaccard < least:  # no alignment has more
+        return jaccard
+    found = aligned(a, b, least)
+    return found if found >= least else jaccard
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -228,6 +221,6 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents, with all their columns, of which one of each class stays."""
     classes, _ = near_duplicates(docs, least)
-    gone = classes.filter(F.col("doc") != F.col("class_id")).select("doc").distinct()
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).join(
-        gone, "doc", "left_anti").select(*docs.columns)
+    gone = classes.filter(F.col("doc") != F.col("class_id")).select(F.col("doc").alias(_ID)).distinct()
+    return docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).join(
+        gone, _ID, "left_anti").select(*docs.columns)
