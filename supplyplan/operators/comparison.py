@@ -20,9 +20,8 @@ _COLUMNS = {
 }
 
 
-def _week_report(t: Tables, f: VarianceFilter, snapshot: int, dates: tuple[date, date], day: Column) -> DataFrame:
-    plan = load_plan(t, resolve(t, f, week=snapshot, dates=dates))
-    sums = plan_totals(plan).withColumns({"week": plan_week(day), "forecast_date": iso_monday(day)})
+def _week_report(totals: DataFrame, day: Column) -> DataFrame:
+    sums = totals.withColumns({"week": plan_week(day), "forecast_date": iso_monday(day)})
     return sum_measures(sums, ["product", "week", "forecast_date"]).select(
         "product", F.col("week").alias("week_id"), "forecast_date",
         *[F.col(m).alias(c) for c, m in _COLUMNS.items()],
@@ -54,5 +53,6 @@ def week_comparison(t: Tables, f: VarianceFilter, as_of: date | datetime, year:
         (y1, w1), (y2, w2) = weeks
         last = tuple(d + timedelta(days=7) for d in week_dates(y1, w1))
         current = _shifted_year_dates(y2, w2)
-    return (_week_report(t, f, snapshot, last, F.date_sub(day, 7)),
-            _week_report(t, f, snapshot, current, day))
+    # the ranges differ in week 1 only; else one plan, measured once, serves both reports
+    totals = {dates: plan_totals(load_plan(t, resolve(t, f, week=snapshot, dates=dates))) for dates in {last, current}}
+    return _week_report(totals[last], F.date_sub(day, 7)), _week_report(totals[current], day)
