@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from llm_texts import docs, rows  # noqa: F401  (fixtures)
 
 from supplyplan.llm import (
     decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup,
