@@ -2,23 +2,29 @@
 
 Of each bucket four pivots meet all members, and the links found make components. Three pivots are taken among the
 most central members, those that share most with others, for near copies of one text often resemble it more than each
-other. Only members of one bucket that are still in different components are then compared with each other. So no
-link between components is lost, and a bucket of thousands of alike members costs a few pairs for each.
+other. Members of one bucket that are still in different components are then compared in blocks: a task gets two
+blocks of a bucket and emits the links only. So no link between components is lost, a bucket of thousands of alike
+members costs a few pairs for each, and one of thousands of unlike members is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import stored
+from .scratch import partitions, stored
+from .shipping import arrow_map
 
 CENTRAL = 3
-#: (size, size) -> whether members of these sizes can be linked
-Fits = Callable[[Column, Column], Column]
+#: members of a block
+BLOCK = 128
+#: (size, size) -> whether members of these sizes can be linked; of columns and of arrays
+Fits = Callable
 
 
 def _pair(left: str, right: str, fits: Fits) -> tuple[Column, Column, Column]:
@@ -41,24 +47,69 @@ def _star_pairs(members: DataFrame, fits: Fits) -> DataFrame:
     return met.filter(may).select(a, b).distinct()
 
 
-def links_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Fits, band: Column) -> DataFrame:
-    """Links (a, b, ...) that `verify` finds among pairs (a, b) of members (bucket, rep, n).
+def _blocks(apart: DataFrame) -> DataFrame:
+    """Members of buckets with several components, dealt into blocks, once for each block that a block is to meet.
 
-    `fits` tells from the sizes n whether a pair can be linked; pairs that fit have a `band` of n that is equal or
-    one apart.
+    Members of the bucket's largest component needn't meet each other: their blocks, numbered after those of the
+    others, only meet those.
+    """
+    by_label = apart.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by_label.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("total")).filter(
+        "main.c < total").select(
+        "bucket", F.col("main.label").alias("main"),
+        F.ceil(F.col("main.c") / BLOCK).cast("int").alias("main_blocks"),
+        F.ceil((F.col("total") - F.col("main.c")) / BLOCK).cast("int").alias("blocks"))
+    spread = F.xxhash64("rep", F.lit(7))
+    dealt = apart.join(sizes, "bucket").withColumn("in_main", F.col("label") == F.col("main")).withColumn(
+        "block", F.when(F.col("in_main"), F.col("blocks") + F.pmod(spread, F.col("main_blocks")))
+        .otherwise(F.pmod(spread, F.col("blocks"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    everyone = F.sequence(F.lit(0), F.col("blocks") + F.col("main_blocks") - 1)
+    return dealt.withColumn("other", F.explode(F.when(F.col("in_main"), others).otherwise(everyone))).select(
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "n")
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], verify, fits: Fits) -> Iterator[pa.RecordBatch]:
+    """Links within the groups (bucket, lo, hi) of sorted rows; a group holds two blocks at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([table[k].to_numpy() for k in ("bucket", "lo", "hi")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for a, b in zip([0, *cuts[:-1]], cuts):
+                yield from _group_links(table.slice(a, b - a), verify, fits)
+            held = table.slice(cuts[-1] if len(cuts) else 0).combine_chunks().to_batches()
+    if held:
+        yield from _group_links(pa.Table.from_batches(held), verify, fits)
+
+
+def _group_links(group: pa.Table, verify, fits: Fits) -> Iterator[pa.RecordBatch]:
+    rep, label, n, block = (group[k].to_numpy() for k in ("rep", "label", "n", "block"))
+    lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    x, y = (a.ravel() for a in np.meshgrid(left, right, indexing="ij"))
+    may = (label[x] != label[y]) & fits(n[x], n[y]) & ((x < y) | (lo != hi))
+    x, y = x[may], y[may]
+    if len(x):
+        found = verify(group["payload"].to_pylist(), x, y)
+        a, b = rep[x[found]], rep[y[found]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def links_in_buckets(members: DataFrame, payloads: DataFrame, verify: Callable[[DataFrame], DataFrame],
+                     verify_block: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray], fits: Fits) -> DataFrame:
+    """Links (a, b) among members (bucket, rep, n) that share a bucket.
+
+    `verify` finds the links among pairs (a, b), `verify_block` those among pairs of a list of payloads (rep, payload);
+    `fits` tells from the sizes n whether a pair can be linked at all.
     """
     tested = stored(_star_pairs(members, fits), "pairs")
     links = stored(verify(tested), "links")
     labels = components(links).withColumnRenamed("node", "rep")
-    apart = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    split = apart.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
-        "lo <> hi").select("bucket")
-    apart = stored(apart.join(split, "bucket").withColumn("band", band), "apart")
-    left = apart.select("bucket", "rep", F.col("n").alias("rep_n"), "label", "band")
-    right = apart.select("bucket", F.col("rep").alias("to"), F.col("n").alias("to_n"), F.col("label").alias("to_label"),
-                         F.col("band").alias("to_band"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    a, b, may = _pair("rep", "to", fits)
-    cross = left.join(right, ["bucket", "band"]).filter(
-        may & (F.col("label") != F.col("to_label")) & ((F.col("to_band") < F.col("band")) | (F.col("rep") < F.col("to"))))
-    rest = stored(cross.select(a, b).distinct().join(tested, ["a", "b"], "left_anti"), "pairs-apart")
-    return stored(links.unionByName(verify(rest)), "links")
+    apart = stored(members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled-members")
+    dealt = _blocks(apart).join(payloads, "rep").repartition(partitions(members.sparkSession), "bucket", "lo", "hi").sortWithinPartitions(
+        "bucket", "lo", "hi", "rep")
+    rest = arrow_map(dealt, lambda it: _block_links(it, verify_block, fits), "a bigint, b bigint")
+    return stored(links.select("a", "b").unionByName(rest).distinct(), "all-links")

@@ -64,26 +64,24 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(two.view(np.int64)), pa.array((ends - starts).astype(np.int32))], ["doc", "line", "h1", "h2", "n"])
 
 
-def segments_of(n: int, threshold: int) -> list[tuple[int, int]]:
-    """Start and length of the threshold + 1 segments of a line of n bytes; the last ones take the rest."""
-    parts = threshold + 1
-    short, longer = n // parts, n % parts
-    out, at = [], 0
-    for i in range(parts):
-        size = short + (i >= parts - longer)
-        out.append((at, size))
-        at += size
-    return out
+def entries(n: np.ndarray, threshold: int, shortest: int):
+    """Index entries and probes of lines of n bytes, a part for every shift: (lines, length probed, segment, start, size).
 
-
-def probe_places(n: int, shorter: int, threshold: int) -> list[tuple[int, int, int]]:
-    """(segment, start, length) of the substrings of a line of n bytes that probe lines of n - shorter bytes."""
-    out = []
-    for i, (at, size) in enumerate(segments_of(n - shorter, threshold)):
-        lo = max(at - i, at + shorter - (threshold - i), 0)
-        hi = min(at + i, at + shorter + (threshold - i), n - size)
-        out += [(i, p, size) for p in range(lo, hi + 1)]
-    return out
+    The threshold + 1 segments of a line are equal, the last ones a byte longer where they must be. A line probes for
+    lines of its own length, which are its own index entries too where the substring doesn't move, and for lines up
+    to `threshold` bytes shorter, at the places that the multi-match-aware selection leaves.
+    """
+    parts = threshold + 1
+    for shorter in range(parts):
+        m = n - shorter
+        base, rest = m // parts, m % parts
+        for i in range(parts):
+            at = i * base + np.maximum(0, i - (parts - rest))
+            size = base + (i >= parts - rest)
+            for move in range(max(-i, shorter - threshold + i), min(i, shorter + threshold - i) + 1):
+                p = at + move
+                ok = np.flatnonzero((m >= shortest) & (p >= 0) & (p + size <= n))
+                yield ok, m[ok], i, p[ok], size[ok]
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch], threshold: int, shortest: int) -> Iterator[pa.RecordBatch]:
@@ -97,17 +95,10 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], threshold: int, shortest: in
             rep, first = np.unique(run_hash(sums, starts, starts + size), return_index=True)
             starts, size = starts[first], size[first]
             buckets, reps = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            order = np.argsort(size, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
-                n = int(size[own[0]])  # lines of one length have the same places
-                at, key = [], []
-                places = {(n - d, *p) for d in range(threshold + 1) if n - d >= shortest for p in probe_places(n, d, threshold)}
-                for length, i, p, s in sorted(places):
-                    at.append((starts[own] + p, starts[own] + p + s))
-                    key.append(np.uint64((length * 16 + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-                for (a, b), k in zip(at, key):
-                    buckets.append(mix(run_hash(sums, a, b) + k))
-                    reps.append(rep[own])
+            for line, length, i, p, s in entries(size, threshold, shortest):
+                kind = (length * 16 + i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                buckets.append(mix(run_hash(sums, starts[line] + p, starts[line] + p + s) + kind))
+                reps.append(rep[line])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.concatenate(reps).view(np.int64))], ["bucket", "rep"])
 
@@ -183,12 +174,27 @@ def edit_distance(a: bytes, b: bytes, threshold: int) -> int:
     return distance
 
 
+def _near(x: list[bytes], y: list[bytes], threshold: int) -> list[int]:
+    return [edit_distance(a, b, threshold) for a, b in zip(x, y)]
+
+
 def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [edit_distance(x, y, threshold) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())]
+        found = _near(batch["x"].to_pylist(), batch["y"].to_pylist(), threshold)
         keep = pa.array([d <= threshold for d in found], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep),
-                                          pa.array(found, pa.int32()).filter(keep)], ["a", "b", "distance"])
+        yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+
+
+def _verify_block(lines: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> np.ndarray:
+    """Which of the pairs of lines are within the threshold. An edit moves the counts of the bytes by two at most."""
+    counts = np.stack([np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in lines]).astype(np.int32)
+    out = np.zeros(len(left), bool)
+    for k in range(0, len(left), 4096):
+        a, b = left[k:k + 4096], right[k:k + 4096]
+        may = np.flatnonzero(np.abs(counts[a] - counts[b]).sum(1) <= 2 * threshold)
+        for m in may.tolist():
+            out[k + m] = edit_distance(lines[a[m]], lines[b[m]], threshold) <= threshold
+    return out
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
@@ -210,9 +216,11 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
 
     def verify(pairs: DataFrame) -> DataFrame:
         return arrow_map(pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y"),
-                         lambda it: _verify(it, threshold), "a bigint, b bigint, distance int")
+                         lambda it: _verify(it, threshold), "a bigint, b bigint")
 
-    links = links_in_buckets(members, verify, lambda x, y: F.abs(x - y) <= threshold, F.floor(F.col("n") / (threshold + 1)))
+    links = links_in_buckets(
+        members, store.withColumnRenamed("bytes", "payload"), verify,
+        lambda lines, left, right: _verify_block(lines, left, right, threshold), lambda x, y: (x - y <= threshold) & (y - x <= threshold))
     labels = components(links).select(F.col("node").alias("h1"), "label")
     classed = stored(distinct.join(labels, "h1", "left"), "classed-lines")
     # an unlinked line is a class by both hashes, so that it is never joined with another

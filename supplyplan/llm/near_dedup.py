@@ -177,6 +177,12 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
                                           pa.array(np.array(found, float)[keep])], ["a", "b", "similarity"])
 
 
+def _verify_block(payloads: list[bytes], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs are links."""
+    own = [np.frombuffer(x, np.uint32) for x in payloads]
+    return np.array([similarity(own[a], own[b], least) >= least for a, b in zip(left.tolist(), right.tolist())], bool)
+
+
 def verified(pairs: DataFrame, store: DataFrame, least: float) -> DataFrame:
     """The links among pairs (a, b)."""
     first = store.select(F.col("doc").alias("a"), F.col("shingles").alias("a_shingles"))
@@ -186,9 +192,14 @@ def verified(pairs: DataFrame, store: DataFrame, least: float) -> DataFrame:
                      "a bigint, b bigint, similarity double")
 
 
+def _close(x, y, least: float):
+    """Whether numbers of shingles (columns or arrays) allow the similarity."""
+    return (x >= least * y) & (y >= least * x)
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(classes, links): doc, class_id and rep (the smallest doc of equal word sequences) of every row, and the
-    verified links (a, b, similarity) between representatives."""
+    verified links (a, b) between representatives."""
     texts = keyed(docs)
     sketched = stored(arrow_map(texts, _sketch_rows, "doc bigint, h1 bigint, h2 bigint, n int, sketches array<bigint>"), "sketches")
     worded = sketched.filter("n > 0")
@@ -200,9 +211,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFra
     wanted = members.select(F.col("rep").alias("doc")).distinct()
     store = stored(arrow_map(texts.join(wanted, "doc").select("doc", "text"), _shingle_rows, "doc bigint, shingles binary"), "shingles")
     links = links_in_buckets(
-        members, lambda pairs: verified(pairs, store, least),
-        lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y),
-        F.floor(F.log("n") / float(-np.log(least)) + 1e-9))
+        members, store.select(F.col("doc").alias("rep"), F.col("shingles").alias("payload")),
+        lambda pairs: verified(pairs, store, least).select("a", "b"),
+        lambda payloads, left, right: _verify_block(payloads, left, right, least), lambda x, y: _close(x, y, least))
     labels = components(links).withColumnRenamed("node", "rep")
     classes = sketched.join(reps.select("h1", "h2", "rep"), ["h1", "h2"], "left").withColumn(
         "rep", F.coalesce("rep", "doc")).join(labels, "rep", "left").select(
