@@ -223,9 +223,11 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
         lambda lines, left, right: _verify_block(lines, left, right, threshold), lambda x, y: (x - y <= threshold) & (y - x <= threshold))
     labels = components(links).select(F.col("node").alias("h1"), "label")
     classed = stored(distinct.join(labels, "h1", "left"), "classed-lines")
-    # an unlinked line is a class by both hashes, so that it is never joined with another
-    firsts = classed.filter("label IS NOT NULL").groupBy("label").agg(F.min("at").alias("class_at"))
-    resolved = classed.join(firsts, "label", "left").select("h1", "h2", "n", F.coalesce("class_at", "at").alias("at"))
+    # an unlinked line is a class by both hashes; those lines have no label to meet by, and stay out of the join
+    linked = classed.filter("label IS NOT NULL")
+    firsts = linked.groupBy("label").agg(F.min("at").alias("class_at"))
+    resolved = linked.join(firsts, "label").select("h1", "h2", "n", F.col("class_at").alias("at")).unionByName(
+        classed.filter("label IS NULL").select("h1", "h2", "n", "at"))
     return lines.join(resolved, ["h1", "h2", "n"]).select(
         "doc", "line", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"))
 
