@@ -12,7 +12,7 @@ class Rows:
 
     def __init__(self, bounds: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int):
         self.bounds, self.columns, self.values, self.width = bounds, columns, values, width
-        self.row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
 
     def __len__(self) -> int:
         return len(self.bounds) - 1

@@ -135,21 +135,24 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = ratings.filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     # at most `sample` rows of two numbers are broadcast, and as many feature rows collected
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
-    table = arrow_map(rated, _sparse, "grade int, slots array<int>, values array<float>").limit(sample).toArrow().combine_chunks()
+    table = arrow_map(rated, _sparse, "grade int, slots array<int>, values array<float>").limit(sample).toArrow()
     grade = table["grade"].to_numpy().astype(np.int64)
-    slots, values = (table[k].combine_chunks() if table.num_rows else None for k in ("slots", "values"))
-    if not table.num_rows:
-        return Model(np.zeros(0, np.int64), np.zeros(0), fit_rows(Rows(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), 0), grade)[1])
-    counts = np.diff(slots.offsets.to_numpy())
-    flat, value = slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float)
-    known, column, had = np.unique(flat, return_inverse=True, return_counts=True)
-    often = had >= LEAST
-    new = np.cumsum(often) - 1
-    on = often[column]
-    row = np.repeat(np.arange(len(grade)), counts)[on]
-    rows = Rows(np.searchsorted(row, np.arange(len(grade) + 1)), new[column[on]], value[on], int(often.sum()))
+    # small types, and one column after the other: the driver holds the features of the sample about twice
+    counts = np.concatenate([np.zeros(0, np.int32), *(np.diff(c.offsets.to_numpy()) for c in table["slots"].chunks)])
+    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in table["slots"].chunks)])
+    value = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in table["values"].chunks)])
+    del table
+    every = np.sort(flat)
+    known = np.unique(every[:len(every) - LEAST + 1][every[:len(every) - LEAST + 1] == every[LEAST - 1:]]) if len(every) >= LEAST else every[:0]
+    del every
+    column = np.searchsorted(known, flat).astype(np.int32)
+    on = known[np.minimum(column, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+    del flat
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), counts)[on]
+    rows = Rows(np.searchsorted(row, np.arange(len(grade) + 1)), column[on], value[on], len(known))
+    del column, value, row, on
     weights, thresholds = fit_rows(rows, grade)
-    return Model(known[often], weights, thresholds)
+    return Model(known.astype(np.int64), weights, thresholds)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
