@@ -3,7 +3,8 @@
 A document is the sequence of its shingles of five words, labelled by their occurrence; the first occurrences stand for
 it, so that a phrase said two hundred times doesn't outweigh all the rest. For each of many hash functions, the sketch
 takes the few smallest of them and keeps them in text order, so that equal sketches speak for a small edit distance
-and not only for common shingles. Documents that share a sketch are candidates.
+and not only for common shingles. Documents that share a sketch are candidates, and so are documents that share the
+chosen shingles of one in another order, for their passages may have moved.
 
 A candidate pair is a link if its similarity is 0.8 or more: by banded alignment, aligned shingles over shingles in
 either, found bit-parallel within the band outside which 0.8 can't be reached; where passages have moved, by the exact
@@ -30,12 +31,14 @@ from .grouping import links_in_buckets
 from .repeats import NO_ID, keyed
 from .scratch import stored
 from .shipping import arrow_map
-from .textcodes import ALNUM, LOWER, blocks, mix, prefix, run_hash, words
+from .textcodes import ALNUM, LOWER, blocks, gather, mix, prefix, run_hash, signed, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: at similarity 0.8, about 0.8 ** 4 of the sketches agree; all 24 differ for 3 of a million pairs
+#: at Jaccard 0.8, about 0.8 ** 4 of the samples agree, in whatever order; all 24 differ for 3 of a million pairs
 SKETCHES, TAKEN = 24, 4
+#: of few shingles fewer samples agree (a fifth, for 4 of 5), so that texts of at most FEW shingles have more
+FEW, FEW_SKETCHES = 32, 64
 #: a column that no table of documents has
 _ID = "__near_dedup_id"
 
@@ -61,17 +64,20 @@ def first_occurrences(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
     return hashes[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(at) - 1))])
 
 
-def order_sketches(hashes: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
-    """Order MinHash of every row that has shingles: (rows, sketches)."""
+def order_sketches(hashes: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN,
+                   first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Order MinHash of every row that has shingles, and the hash of the same shingles without their order: two times
+    (rows, sketches), by the hash functions from `first` on."""
     full = np.flatnonzero(np.diff(at) > 0)
-    out = np.zeros((len(full), sketches), np.uint64)
+    orders, sets = (np.zeros((len(full), sketches), np.uint64) for _ in range(2))
     if not len(full):
-        return out
+        return orders, sets
     begins, counts = at[:-1][full], np.diff(at)[full]
     last = np.uint64(0xFFFFFFFFFFFFFFFF)
     index = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64((1 << int(len(hashes)).bit_length()) - 1)
-    for j in range(sketches):
+    padded = np.append(hashes, np.uint64(0))
+    for j in range(first, first + sketches):
         ranked = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
         ranked ^= ranked >> np.uint64(32)
         ranked *= np.uint64(0xD6E8FEB86659FD93)
@@ -83,12 +89,32 @@ def order_sketches(hashes: np.ndarray, at: np.ndarray, sketches: int = SKETCHES,
             places[on, k] = (least[on] & low).astype(np.int64)
             ranked[places[on, k]] = last
         places.sort(1)  # text order
-        chosen = np.append(hashes, np.uint64(0))[places]
-        acc = np.full(len(full), j + 1, np.uint64)
-        for k in range(taken):
-            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + chosen[:, k])
-        out[:, j] = acc
-    return out
+        chosen = padded[places]
+        for out, own, salt in ((orders, chosen, 1), (sets, np.sort(chosen, 1), 1 << 32)):
+            acc = np.full(len(full), j + salt, np.uint64)
+            for k in range(taken):
+                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + own[:, k])
+            out[:, j - first] = acc
+    return orders, sets
+
+
+def all_sketches(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches with and without order of all rows, row by row, and the index of each row's first."""
+    n = np.diff(at)
+    few = np.flatnonzero((n > 0) & (n <= FEW))
+    counts = np.where(n > 0, SKETCHES, 0)
+    counts[few] = FEW_SKETCHES
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    full = bounds[:-1][n > 0]
+    more = order_sketches(hashes[gather(at[few], n[few])], np.concatenate([[0], np.cumsum(n[few])]),
+                          FEW_SKETCHES - SKETCHES, first=SKETCHES)
+    out = []
+    for common, extra in zip(order_sketches(hashes, at), more):
+        flat = np.empty(bounds[-1], np.uint64)
+        flat[full[:, None] + np.arange(SKETCHES)] = common
+        flat[bounds[few][:, None] + np.arange(SKETCHES, FEW_SKETCHES)] = extra
+        out.append(flat)
+    return out[0], out[1], bounds
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,17 +124,11 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, two = prefix(codes), prefix(mix(codes ^ np.uint64(0x5851F42D4C957F2D)))
             a, b = run_hash(one, rows[:-1], rows[1:]), run_hash(two, rows[:-1], rows[1:])
             hashes, at = first_occurrences(*shingles(codes, rows))
-            full = np.diff(at) > 0
-            sketches = order_sketches(hashes, at)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(full * sketches.shape[1])]).astype(np.int32)), signed_flat(sketches))
+            *keys, bounds = all_sketches(hashes, at)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), signed(k)) for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc"].slice(lo, hi - lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                 pa.array(np.diff(at).astype(np.int32)), lists], ["doc", "h1", "h2", "n", "sketches"])
-
-
-def signed_flat(a: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(a).ravel().view(np.int64))
+                 pa.array(np.diff(at).astype(np.int32)), *lists], ["doc", "h1", "h2", "n", "orders", "sets"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +221,18 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFra
     """(classes, links): doc, class_id and rep (the smallest doc of equal word sequences) of every row, and the
     verified links (a, b) between representatives."""
     texts = keyed(docs)
-    sketched = stored(arrow_map(texts, _sketch_rows, "doc bigint, h1 bigint, h2 bigint, n int, sketches array<bigint>"), "sketches")
+    sketched = stored(arrow_map(texts, _sketch_rows, "doc bigint, h1 bigint, h2 bigint, n int, orders array<bigint>, sets array<bigint>"), "sketches")
     worded = sketched.filter("n > 0")
-    reps = stored(worded.groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "sketches")).alias("r"))
-                  .select("h1", "h2", F.col("r.doc").alias("rep"), "r.n", "r.sketches"), "representatives")
-    exploded = reps.select("rep", "n", F.explode("sketches").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
-    members = stored(exploded.join(shared, "bucket"), "members")
+    reps = stored(worded.groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "orders", "sets")).alias("r"))
+                  .select("h1", "h2", F.col("r.doc").alias("rep"), "r.n", "r.orders", "r.sets"), "representatives")
+    samples = reps.select("rep", "n", F.explode(F.arrays_zip("orders", "sets")).alias("s")).select(
+        "rep", "n", F.col("s.orders").alias("order"), F.col("s.sets").alias("set"))
+    shared = samples.groupBy("set").agg(
+        F.min("rep").alias("lo"), F.max("rep").alias("hi"), (F.min("order") != F.max("order")).alias("moved")).filter(
+        "lo <> hi").select("set", "moved")
+    # the order's bucket lies within that of the same shingles without order, and is the same unless passages moved
+    members = stored(samples.join(shared, "set").select("rep", "n", F.explode(
+        F.when(F.col("moved"), F.array("order", "set")).otherwise(F.array("order"))).alias("bucket")), "members")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
     store = stored(arrow_map(texts.join(wanted, "doc").select("doc", "text"), _shingle_rows, "doc bigint, shingles binary"), "shingles")
     links = links_in_buckets(

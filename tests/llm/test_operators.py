@@ -207,6 +207,34 @@ def test_near_duplicates(spark, docs, rows):
     assert {r.doc_id for r in kept.collect()} - {None} == {k for k in dict(rows) if find(k) == k}
 
 
+def test_moved_passages(spark):
+    r = np.random.default_rng(11)
+    fresh = iter(range(1 << 30))
+    draw = lambda n: [f"v{next(fresh)}" for _ in range(n)]
+
+    def edited(w, edits):
+        w = list(w)
+        for p in r.choice(len(w), edits, replace=False):
+            w[p] = draw(1)[0]
+        return w
+
+    pairs = []
+    for k in range(60):
+        w = draw(int(r.integers(400, 501)))
+        pairs.append((w, edited(w[len(w) // 2:] + w[:len(w) // 2], k % 8)))  # halves swapped
+        w = draw(int(r.integers(400, 501)))
+        parts = [w[i * len(w) // 8:(i + 1) * len(w) // 8] for i in range(8)]
+        pairs.append((w, [x for i in r.permutation(8) for x in parts[i]]))  # paragraphs shuffled
+        short = draw(int(r.integers(8, 14)))
+        pairs.append((short, [*short, *draw(1)]))  # few shingles, the least of them 4 of 5
+    rows = [(2 * k + side, " ".join(pair[side])) for k, pair in enumerate(pairs) for side in (0, 1)]
+    got = by_id(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    sets = {k: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in rows)}
+    linked = {k: len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1]) for k in range(len(pairs))}
+    assert 100 < sum(linked.values())
+    assert {k: got[2 * k + 1].class_id == 2 * k for k in linked} == linked
+
+
 def test_aligned_similarity():
     a = np.arange(200, dtype=np.uint32)
     b = np.concatenate([a[:50], [999], a[52:], [7777]]).astype(np.uint32)
