@@ -7,7 +7,8 @@ very place of an anchor are equal. Consecutive windows with one anchor place mak
 Hot passages: equal segments of a block of texts collapse to the earliest before any shuffle by content, so a passage
 that a third of all documents hold is one row per block of text there; rows of an anchor stream by in sorted order,
 with one held back, so that none of them has to fit into memory. Tokens are fetched only for segments that differ
-under one anchor, once for each content. Positions are (doc_id, start); rows that repeat a doc_id are one document to this order.
+under one anchor, once for each content. Where those are more than a task may index or sort at once, their windows are
+dealt out once more by a hash of the whole window. Positions are (doc_id, start); rows that repeat a doc_id are one document to this order.
 """
 
 from __future__ import annotations
@@ -156,34 +157,52 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array((at & 0xFFFF).astype(np.int32)), pa.array(want)], ["anchor", "doc", "start", "n", "want"])
 
 
+def _wanted_in(batch: pa.RecordBatch, unit: Unit) -> Iterator[tuple]:
+    """Of each block of texts its tokens, and of the wanted segments document, start in the document, anchor, key and
+    number of windows, and the start in the block."""
+    ids = batch["doc"].to_numpy()
+    lists = batch["wanted"]
+    counts = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten()
+    fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "start", "n", "key")]
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    for lo, hi, data, offs in blocks(batch["text"]):
+        t = unit.read(data, offs)
+        row = np.repeat(np.arange(hi - lo), counts[lo:hi])
+        anchor, own, n, key = (x[bounds[lo]:bounds[hi]] for x in fields)
+        own, n = own.astype(np.int64), n.astype(np.int64)
+        fits = own + n + unit.width - 1 <= np.diff(t.rows)[row]  # a doc_id may come with other texts
+        row, own, anchor, key, n = (x[fits] for x in (row, own, anchor, key, n))
+        yield t, ids[lo + row], own, anchor.view(np.uint64), key, n, own + t.rows[row]
+
+
 def _payload(batches: Iterator[pa.RecordBatch], unit: Unit, width_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The tokens of the wanted segments of each text."""
+    """The tokens of the wanted segments of each text, under their keys."""
     for batch in batches:
-        ids = batch["doc"].to_numpy()
-        lists = batch["wanted"]
-        counts = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten()
-        anchor_all, start_all, n_all = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "start", "n"))
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        for lo, hi, data, offs in blocks(batch["text"]):
-            t = unit.read(data, offs)
-            part = slice(bounds[lo], bounds[hi])
-            row = np.repeat(np.arange(hi - lo), counts[lo:hi])
-            anchor, own, n = anchor_all[part].view(np.uint64), start_all[part].astype(np.int64), n_all[part].astype(np.int64)
+        for t, doc, own, anchor, key, n, start in _wanted_in(batch, unit):
             length = n + unit.width - 1
-            fits = own + length <= np.diff(t.rows)[row]  # a doc_id may come with other texts
-            anchor, row, own, n, length = (x[fits] for x in (anchor, row, own, n, length))
-            start = own + t.rows[row]
             taken = t.codes[gather(start, length)]
             taken = taken if width_bytes == 1 else (taken >> np.uint64(32)).astype(np.uint32)
             ends = np.concatenate([[0], np.cumsum(length * width_bytes)]).astype(np.int32)
             tokens = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(taken.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [signed(anchor), pa.array(ids[lo + row]), pa.array(own.astype(np.int32)), pa.array(n.astype(np.int32)),
+                [pa.array(key), pa.array(doc), pa.array(own.astype(np.int32)), pa.array(n.astype(np.int32)),
                  pa.array(_places(t.sums, unit, anchor, start, n)), tokens],
                 ["anchor", "doc", "start", "n", "place", "tokens"])
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """The windows of the wanted segments of each text; the key is the hash of anchor and window."""
+    for batch in batches:
+        for t, doc, own, anchor, _, n, start in _wanted_in(batch, unit):
+            at = gather(start, n)
+            anchor = np.repeat(anchor, n)
+            key = mix(run_hash(t.sums, at, at + unit.width) ^ mix(anchor))
+            yield pa.RecordBatch.from_arrays(
+                [signed(anchor), signed(key), pa.array(np.repeat(doc, n)), pa.array((at - np.repeat(start - own, n)).astype(np.int32))],
+                ["anchor", "key", "doc", "start"])
+
+
 def _places(sums: np.ndarray, unit: Unit, anchor: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Where in its segment the anchor stands: the first run of that hash that its last window holds."""
     reach = unit.width - unit.gram + 2 - n
@@ -198,15 +217,45 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), "text")
 
 
-def candidate_segments(docs: DataFrame, unit: Unit, width_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _dealt_windows(texts: DataFrame, wanted: DataFrame, unit: Unit, most: int) -> DataFrame:
+    """The windows of wanted segments as segments of their own (doc, anchor, start, n, key), without those that stand
+    once. Equal windows have one key; where they are more than half of `most` tokens, several, each with the earliest of all."""
+    rows = arrow_map(texts.join(_by_document(wanted), "doc").select("doc", "text", "wanted"), lambda it: _window_rows(it, unit),
+                     "anchor bigint, key bigint, doc bigint, start int")
+    windows = stored(rows.distinct(), "windows")
+    keys = windows.groupBy("key").agg(
+        F.min(F.struct("doc", "start")).alias("first"),
+        F.ceil(F.count(F.lit(1)) / F.lit(max(1, most // unit.width // 2))).cast("int").alias("parts"),
+        F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    part = F.pmod(F.xxhash64("doc", "start"), F.col("parts")).cast("int")
+    return windows.join(keys, "key").withColumn(
+        "part", F.explode(F.when(F.struct("doc", "start") == F.col("first"), every).otherwise(F.array(part)))).select(
+        "doc", "anchor", "start", F.lit(1).alias("n"),
+        F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"))
+
+
+def _by_document(wanted: DataFrame) -> DataFrame:
+    return wanted.groupBy("doc").agg(F.collect_set(F.struct("anchor", "start", "n", "key")).alias("wanted"))
+
+
+def candidate_segments(docs: DataFrame, unit: Unit, width_bytes: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Segments that may hold windows of others (anchor, doc, start, n, place of the anchor, tokens), the earliest of
-    equal ones for all, and the stretches (doc, start, n) of windows that surely repeat an earlier segment."""
+    equal ones for all, and the stretches (doc, start, n) of windows that surely repeat an earlier segment.
+
+    Where the segments of an anchor have more than `most` tokens, as over the edge of a passage that many documents
+    hold, its windows come instead, and the anchor is a hash of the window."""
     texts = keyed(docs)
     rows = arrow_map(texts, lambda it: _anchor_rows(it, unit), "anchor bigint, seg bigint, doc bigint, at bigint")
     dealt = rows.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "seg", "doc", "at")
     repeated = stored(arrow_map(dealt, _repeated, "anchor bigint, doc bigint, start int, n int, want boolean"), "repeated")
-    wanted = repeated.filter("want").groupBy("doc").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("wanted"))
-    fetched = arrow_map(texts.join(wanted, "doc").select("doc", "text", "wanted"),
+    wanted = repeated.filter("want").select("doc", "anchor", "start", "n", F.col("anchor").alias("key"))
+    heavy = stored(wanted.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(unit.width - 1)).alias("size")).filter(
+        F.col("size") > most).select("anchor"), "heavy-anchors")
+    if not heavy.isEmpty():
+        wanted = wanted.join(heavy, "anchor", "left_anti").select("doc", "anchor", "start", "n", "key").unionByName(
+            _dealt_windows(texts, wanted.join(heavy, "anchor", "left_semi"), unit, most))
+    fetched = arrow_map(texts.join(_by_document(wanted), "doc").select("doc", "text", "wanted"),
                         lambda it: _payload(it, unit, width_bytes),
                         "anchor bigint, doc bigint, start int, n int, place int, tokens binary")
     return stored(fetched, "segments"), repeated.filter("not want").select("doc", "start", "n")

@@ -33,7 +33,7 @@ from .textcodes import gather
 
 WIDTH = 20
 GRAM = 6
-#: words of an index; a shard of more words is cut between anchors
+#: words of an index; a shard of more words is cut between anchors, and an anchor of more between windows
 INDEX_WORDS = 1 << 20
 
 
@@ -191,7 +191,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, index_words: int = INDEX_WORDS) -> DataFrame:
     """Stretches (doc, start, n) of windows of `width` words that also start earlier."""
     spark = docs.sparkSession
-    distinct, again = candidate_segments(docs, Unit(width, gram, word_tokens), 4)
+    distinct, again = candidate_segments(docs, Unit(width, gram, word_tokens), 4, index_words)
     dealt = distinct.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     found = arrow_map(dealt.select("anchor", "n", "doc", "start", "tokens"),
                       lambda it: _index_shards(it, width, index_words), "doc bigint, start int, n int")

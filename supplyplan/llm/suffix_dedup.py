@@ -3,7 +3,8 @@
 Suffixes are sampled by content (the anchors of `repeats`), so every window of `width` bytes has one in it.
 Spark's sampled splitters deal the segments out by the leading bytes of the anchor's suffix, which keeps all
 windows that may be equal within one range: equal leading bytes are never split, so that what lies on either side
-of a boundary differs, and comparing neighbours across it finds nothing more. A bucket then sorts the suffixes of
+of a boundary differs, and comparing neighbours across it finds nothing more. Only where one such range is more than a
+bucket may hold do splitters cut it by window hash, so that equal windows still meet. A bucket then sorts the suffixes of
 its segments by multikey quicksort, eight bytes at a time, within the ties of the bytes before; ties that last
 `width` bytes are equal windows, and all but the earliest of them are marked.
 
@@ -29,7 +30,7 @@ from .textcodes import gather
 
 WIDTH = 100
 GRAM = 32
-#: bytes of segments that a bucket sorts at once; cut between anchors
+#: bytes of segments that a bucket sorts at once; cut between anchors, and an anchor of more between windows
 BUCKET_BYTES = 1 << 21
 
 
@@ -116,10 +117,10 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Stretches (doc, start, n) of windows of `width` bytes that also start earlier."""
-    distinct, again = candidate_segments(docs, Unit(width, gram, byte_tokens), 1)
+    distinct, again = candidate_segments(docs, Unit(width, gram, byte_tokens), 1, bucket_bytes)
     leading = distinct.select("anchor", "n", "doc", "start", "tokens",
                               F.expr(f"substring(tokens, place + 1, {gram})").alias("lead"))
-    ranges = leading.repartitionByRange(partitions(docs.sparkSession), "lead").sortWithinPartitions("lead", "anchor")
+    ranges = leading.repartitionByRange(partitions(docs.sparkSession), "lead", "anchor").sortWithinPartitions("lead", "anchor")
     found = arrow_map(ranges, lambda it: _sort_buckets(it, width, bucket_bytes), "doc bigint, start int, n int")
     return again.unionByName(found)
 

@@ -8,9 +8,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 from llm_texts import docs, rows  # noqa: F401  (fixtures)
+from pyspark.sql import functions as F
 
 from supplyplan.llm import (
-    decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup,
+    decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, personal_data, quality, repeats, substring_dedup,
     suffix_dedup,
 )
 
@@ -65,6 +66,30 @@ def test_suffixes(docs, rows, limit):
             len(data[k]), len(gone), spans, sha(kept)), k
 
 
+@pytest.mark.parametrize("module, width, gram, read, size", [
+    (substring_dedup, 20, 6, repeats.word_tokens, 4), (suffix_dedup, 100, 32, repeats.byte_tokens, 1)])
+def test_passage_in_a_third_of_the_rows(spark, module, width, gram, read, size):
+    r = np.random.default_rng(5)
+    word = lambda: f"q{r.integers(1 << 40):x}"
+    passage = " ".join(word() for _ in range(40))
+    # over the passage's edge half of the documents go on alike, so that windows repeat in segments that don't
+    rows = [(k, " ".join([*(word() for _ in range(30)), *(["same end"] * (k % 6 == 0) + [passage, "like this"] if k % 3 == 0 else []),
+                          *(word() for _ in range(30))])) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    limit = 40 * width
+    segments, _ = repeats.candidate_segments(docs, repeats.Unit(width, gram, read), size, limit)
+    held = segments.groupBy("anchor").agg(F.sum(F.length("tokens") / size).alias("tokens")).agg(F.max("tokens")).first()[0]
+    assert held <= limit  # nothing that is indexed or sorted at once is larger
+    words = module is substring_dedup
+    got = by_id(substring_dedup.substring_dedup(docs, index_words=limit) if words else suffix_dedup.suffix_dedup(docs, bucket_bytes=limit))
+    tokens = {k: t.encode().split() if words else t.encode() for k, t in rows}
+    gone = covered(tokens, width)
+    assert sum(map(len, gone.values())) > 79 * width
+    for k, t in tokens.items():
+        kept = [x for i, x in enumerate(t) if i not in gone[k]]
+        assert (got[k].n_removed, got[k].kept_sha256) == (len(gone[k]), sha(b" ".join(kept) if words else bytes(kept))), k
+
+
 def test_wavelet_ranks():
     r = np.random.default_rng(0)
     symbols = r.integers(0, 37, 500)
