@@ -69,8 +69,9 @@ def _blocks(apart: DataFrame) -> DataFrame:
         "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "n")
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], verify, fits: Fits) -> Iterator[pa.RecordBatch]:
-    """Links within the groups (bucket, lo, hi) of sorted rows; a group holds two blocks at most."""
+def _block_links(batches: Iterator[pa.RecordBatch], verify, fits: Fits, each: Callable | None = None) -> Iterator[pa.RecordBatch]:
+    """Links, or what `each` makes of a group, within the groups (bucket, lo, hi) of sorted rows; a group holds two blocks at most."""
+    each = each or _group_links
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
@@ -79,10 +80,10 @@ def _block_links(batches: Iterator[pa.RecordBatch], verify, fits: Fits) -> Itera
             keys = np.stack([table[k].to_numpy() for k in ("bucket", "lo", "hi")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             for a, b in zip([0, *cuts[:-1]], cuts):
-                yield from _group_links(table.slice(a, b - a), verify, fits)
+                yield from each(table.slice(a, b - a), verify, fits)
             held = table.slice(cuts[-1] if len(cuts) else 0).combine_chunks().to_batches()
     if held:
-        yield from _group_links(pa.Table.from_batches(held), verify, fits)
+        yield from each(pa.Table.from_batches(held), verify, fits)
 
 
 def _group_links(group: pa.Table, verify, fits: Fits) -> Iterator[pa.RecordBatch]:
@@ -113,3 +114,39 @@ def links_in_buckets(members: DataFrame, payloads: DataFrame, verify: Callable[[
         "bucket", "lo", "hi", "rep")
     rest = arrow_map(dealt, lambda it: _block_links(it, verify_block, fits), "a bigint, b bigint")
     return stored(links.select("a", "b").unionByName(rest).distinct(), "all-links")
+
+
+def _group_counts(group: pa.Table, verify, fits: Fits) -> Iterator[pa.RecordBatch]:
+    """The number of links of each member of a group, of the pairs whose first shared bucket is the group's."""
+    rep, n, block = (group[k].to_numpy() for k in ("rep", "n", "block"))
+    bucket, lo, hi = (group[k][0].as_py() for k in ("bucket", "lo", "hi"))
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    x, y = (a.ravel() for a in np.meshgrid(left, right, indexing="ij"))
+    may = fits(n[x], n[y]) & ((x < y) | (lo != hi))
+    x, y = x[may], y[may]
+    if len(x):
+        before = [{b for b in own if b < bucket} for own in group["buckets"].to_pylist()]
+        here = np.array([before[a].isdisjoint(before[b]) for a, b in zip(x.tolist(), y.tolist())], bool)
+        x, y = x[here], y[here]
+    if len(x):
+        found = verify(group["payload"].to_pylist(), x, y)
+        counts = np.bincount(np.concatenate([x[found], y[found]]), minlength=len(rep))
+        some = counts > 0
+        yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(counts[some])], ["rep", "n_links"])
+
+
+def link_counts(members: DataFrame, payloads: DataFrame, verify_block: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray],
+                fits: Fits) -> DataFrame:
+    """(rep, n_links): how many others each member (bucket, rep, n) is linked to, without loss.
+
+    All members of a bucket meet in blocks, two blocks a task, each pair in the least bucket that both are in; only
+    counts are emitted."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = members.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
+    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n")
+    met = dealt.join(payloads, "rep").join(own, "rep").repartition(partitions(members.sparkSession), "bucket", "lo", "hi").sortWithinPartitions(
+        "bucket", "lo", "hi", "rep")
+    counts = arrow_map(met, lambda it: _block_links(it, verify_block, fits, _group_counts), "rep bigint, n_links bigint")
+    return stored(counts.groupBy("rep").agg(F.sum("n_links").alias("n_links")), "link-counts")

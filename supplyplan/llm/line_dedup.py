@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .grouping import links_in_buckets
+from .grouping import link_counts, links_in_buckets
 from .repeats import NO_ID, keyed
 from .scratch import partitions, stored
 from .shipping import arrow_map
@@ -197,8 +197,9 @@ def _verify_block(lines: list[bytes], left: np.ndarray, right: np.ndarray, thres
     return out
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """Every line that isn't blank: doc, line (its number), first_doc and first_line of its class."""
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, counted: bool = False) -> DataFrame:
+    """Every line that isn't blank: doc, line (its number), first_doc and first_line of its class, and n_links: if
+    `counted`, how many other distinct lines are within the threshold, else null."""
     spark = docs.sparkSession
     texts = keyed(docs)
     lines = stored(arrow_map(texts, _line_rows, "doc bigint, line int, h1 bigint, h2 bigint, n int"), "lines")
@@ -218,26 +219,44 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
         return arrow_map(pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y"),
                          lambda it: _verify(it, threshold), "a bigint, b bigint")
 
-    links = links_in_buckets(
-        members, store.withColumnRenamed("bytes", "payload"), verify,
-        lambda lines, left, right: _verify_block(lines, left, right, threshold), lambda x, y: (x - y <= threshold) & (y - x <= threshold))
+    payloads = store.withColumnRenamed("bytes", "payload")
+    block = lambda lines, left, right: _verify_block(lines, left, right, threshold)
+    fits = lambda x, y: (x - y <= threshold) & (y - x <= threshold)
+    links = links_in_buckets(members, payloads, verify, block, fits)
     labels = components(links).select(F.col("node").alias("h1"), "label")
-    classed = stored(distinct.join(labels, "h1", "left"), "classed-lines")
+    classed = distinct.join(labels, "h1", "left")
+    if counted:
+        counts = link_counts(members, payloads.dropDuplicates(["rep"]), block, fits).withColumnRenamed("rep", "h1")
+        classed = classed.join(counts, "h1", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    else:
+        classed = classed.withColumn("n_links", F.lit(None).cast("bigint"))
+    classed = stored(classed, "classed-lines")
     # an unlinked line is a class by both hashes; those lines have no label to meet by, and stay out of the join
     linked = classed.filter("label IS NOT NULL")
     firsts = linked.groupBy("label").agg(F.min("at").alias("class_at"))
-    resolved = linked.join(firsts, "label").select("h1", "h2", "n", F.col("class_at").alias("at")).unionByName(
-        classed.filter("label IS NULL").select("h1", "h2", "n", "at"))
+    resolved = linked.join(firsts, "label").select("h1", "h2", "n", F.col("class_at").alias("at"), "n_links").unionByName(
+        classed.filter("label IS NULL").select("h1", "h2", "n", "at", "n_links"))
     return lines.join(resolved, ["h1", "h2", "n"]).select(
-        "doc", "line", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"))
+        "doc", "line", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"), "n_links")
+
+
+def linked_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+    """doc, n_lines, `removed` as below, and `linked`: of the lines within the threshold of others, the first of the
+    class and the number of other distinct lines that each is linked to."""
+    return _by_document(line_classes(docs, threshold, shortest, counted=True))
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """doc, n_lines, and `removed`: the lines that aren't the first of their class, with the first."""
+    return _by_document(line_classes(docs, threshold, shortest)).drop("linked")
+
+
+def _by_document(lines: DataFrame) -> DataFrame:
     again = (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))
-    return line_classes(docs, threshold, shortest).groupBy("doc").agg(
+    return lines.groupBy("doc").agg(
         F.countDistinct("line").alias("n_lines"),
-        F.array_sort(F.collect_set(F.when(again, F.struct("line", "first_doc", "first_line")))).alias("removed"))
+        F.array_sort(F.collect_set(F.when(again, F.struct("line", "first_doc", "first_line")))).alias("removed"),
+        F.array_sort(F.collect_set(F.when(F.col("n_links") > 0, F.struct("line", "first_doc", "first_line", "n_links")))).alias("linked"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -219,7 +219,7 @@ def _close(x, y, least: float):
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(classes, links): doc, class_id and rep (the smallest doc of equal word sequences) of every row, and the
-    verified links (a, b) between representatives."""
+    verified links (a, b) between representatives, which span the classes but aren't all links within them."""
     texts = keyed(docs)
     sketched = stored(arrow_map(texts, _sketch_rows, "doc bigint, h1 bigint, h2 bigint, n int, orders array<bigint>, sets array<bigint>"), "sketches")
     worded = sketched.filter("n > 0")

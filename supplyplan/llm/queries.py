@@ -42,11 +42,12 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
-    found = line_dedup.removed_lines(docs)
+    found = line_dedup.linked_lines(docs)
     lines = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.nullif("doc", F.lit(line_dedup.NO_ID))), "left")
     return lines.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
                         F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
-                        F.coalesce("removed", F.expr("array()")).alias("removed"))
+                        F.coalesce("removed", F.expr("array()")).alias("removed"),
+                        F.coalesce("linked", F.expr("array()")).alias("linked"))
 
 
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:

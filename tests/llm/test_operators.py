@@ -189,6 +189,18 @@ def test_lines(spark, docs, rows):
     assert {0, 1, 2} <= {r.doc_id for r in kept.collect()}
 
 
+def test_links_of_lines(spark):
+    r, line = np.random.default_rng(3), "a sentence of more than thirty-two bytes that varies"
+    texts = ["".join("#" if p in at else c for p, c in enumerate(line)) for at in (
+        set(r.choice(len(line), k % 3, replace=False).tolist()) for k in range(300))]
+    texts += [t + "!" for t in texts[:20]] + [texts[5]]
+    got = by_id(line_dedup.linked_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumnRenamed("doc", "doc_id"))
+    distinct = set(texts)
+    want = {t: sum(t != o and distance(t, o) <= 2 for o in distinct) for t in distinct}
+    assert max(want.values()) > 150 > min(want.values())
+    assert {k: [x.n_links for x in got[k].linked] for k in got} == {k: [want[t]] * (want[t] > 0) for k, t in enumerate(texts)}
+
+
 def test_edit_distance():
     import random
 
