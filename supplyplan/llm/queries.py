@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup,
+    byte_pairs, decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup,
     suffix_dedup,
 )
 from .statements import STATEMENTS
@@ -73,9 +73,18 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, folder))
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    out = byte_pairs.decoded(byte_pairs.encoded(_documents(spark, folder)))
+    return out.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality, op4_exact_dedup, op5_line_dedup, op6_language,
-                                     op7_best_fit_packing, op8_suffix_dedup, op9_personal_data, op10_near_dedup)}
+                                     op7_best_fit_packing, op8_suffix_dedup, op9_personal_data, op10_near_dedup,
+                                     op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
