@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_pairs, decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup,
+    byte_pairs, decontaminate, exact_dedup, hard_negatives, language, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup,
     suffix_dedup,
 )
 from .statements import STATEMENTS
@@ -73,6 +73,12 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, folder))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = byte_pairs.decoded(byte_pairs.encoded(_documents(spark, folder)))
     return out.select(
@@ -84,7 +90,7 @@ def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality, op4_exact_dedup, op5_line_dedup, op6_language,
                                      op7_best_fit_packing, op8_suffix_dedup, op9_personal_data, op10_near_dedup,
-                                     op13_byte_bpe)}
+                                     op11_hard_negatives, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,4 +58,21 @@ STATEMENTS = {
                    range(1, n_spans + 2), lambda i: substr(h, 2 * coalesce(ends[i - 1], 1) - 1,
                    2 * (coalesce(starts[i], length(h) // 2 + 1) - coalesce(ends[i - 1], 1)))), '') END)) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS alike,
+                     coalesce(list_sum(list_transform(list_zip(a.q, r.q), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+              FROM v AS a JOIN v AS r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+        pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM pos JOIN s USING (anchor_id)
+        WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+        QUALIFY row_number() OVER w <= 5""",
 }
