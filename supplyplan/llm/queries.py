@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_pairs, decontaminate, exact_dedup, hard_negatives, language, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup,
-    suffix_dedup,
+    byte_pairs, decontaminate, exact_dedup, hard_negatives, language, line_dedup, near_dedup, packing, personal_data, quality, spelling,
+    substring_dedup, suffix_dedup,
 )
 from .statements import STATEMENTS
 
@@ -79,6 +79,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(_documents(spark, folder), mistype=199))
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     out = byte_pairs.decoded(byte_pairs.encoded(_documents(spark, folder)))
     return out.select(
@@ -90,7 +94,7 @@ def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality, op4_exact_dedup, op5_line_dedup, op6_language,
                                      op7_best_fit_packing, op8_suffix_dedup, op9_personal_data, op10_near_dedup,
-                                     op11_hard_negatives, op13_byte_bpe)}
+                                     op11_hard_negatives, op12_spelling_variants, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
