@@ -299,7 +299,7 @@ def statements() -> dict[str, str]:
                    ("req_plan_non_gsa_adj", "req_plan_gsa_adj", "adjustment_quantity"))
     commits = ("fx_commits", "commit_id", "PL1B2B", "5", "5", ("commit_reason", "commit_comments"),
                ("non_gsa_commit_qty", "gsa_commit_qty", "commit_quantity"))
-    return {
+    queries = {
         "q_user_roles": _ROLES,
         "q_search_plnr": _search(("33210",), "ADJ_TYPE", "A"),
         "q_search_cm": _search(("3350", "3490"), "RESN_TYPE", "R"),
@@ -369,3 +369,6 @@ def statements() -> dict[str, str]:
         "q_compare_weeks": _compare("f.demand_date", (
             f"{week('f.demand_date')} = 3", "year(f.demand_date - INTERVAL 7 DAY) = 1998")),
     }
+    # a stored ledger read back holds the same rows
+    return queries | {f"{name}_stored": queries[f"{name}_{step}"] for name, step in (
+        ("q_requests", "approval"), ("q_tasks", "update"), ("q_preferences", "replace"))}

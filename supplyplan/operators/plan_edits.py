@@ -6,6 +6,7 @@ is up to the caller. Batches carry their order in the column `ord`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame
@@ -30,13 +31,15 @@ def _stamped(rows: DataFrame, user, as_of: date | datetime) -> DataFrame:
 
 
 def new_adjustments(adjustments: DataFrame, batch: DataFrame, planner: str, vendor: str,
-                    as_of: date | datetime) -> DataFrame:
-    """The revisions that a batch of planner adjustments adds to the log, of which only the greatest id is read.
+                    as_of: date | datetime, ids: Callable[[int], int] | None = None) -> DataFrame:
+    """The revisions that a batch of planner adjustments adds to the log.
+
+    Of the log only the greatest id is read, and nothing if `ids` reserves them (`IdBlocks`).
 
     Store them with `append_rows`. Batch: ord, product, monday, non_gsa_adjustment, gsa_adjustment, adjustment,
     adjustment_type, adjustment_comment.
     """
-    rows = numbered(normalized(batch), "ord", next_id(adjustments, "adjustment_id"), "adjustment_id").select(
+    rows = numbered(normalized(batch), "ord", ids or next_id(adjustments, "adjustment_id"), "adjustment_id").select(
         "adjustment_id", F.lit(planner).alias("planner_id"), F.lit(vendor).alias("supplier_id"), "product",
         F.col("non_gsa_adjustment").alias("req_plan_non_gsa_adj"), F.col("gsa_adjustment").alias("req_plan_gsa_adj"),
         F.col("adjustment").alias("adjustment_quantity"), "adjustment_type",
@@ -50,13 +53,16 @@ def append_adjustments(adjustments: DataFrame, batch: DataFrame, planner: str, v
     return adjustments.unionByName(new_adjustments(adjustments, batch, planner, vendor, as_of))
 
 
-def new_commits(commits: DataFrame, batch: DataFrame, planner: str, vendor: str, as_of: date | datetime) -> DataFrame:
-    """The revisions that a batch of supplier commits adds to the log, of which only the greatest id is read.
+def new_commits(commits: DataFrame, batch: DataFrame, planner: str, vendor: str, as_of: date | datetime,
+                ids: Callable[[int], int] | None = None) -> DataFrame:
+    """The revisions that a batch of supplier commits adds to the log.
+
+    Of the log only the greatest id is read, and nothing if `ids` reserves them (`IdBlocks`).
 
     Store them with `append_rows`. Batch: ord, product, monday, non_gsa_commit, gsa_commit, commit, adjustment_type (the
     reason), adjustment_comment.
     """
-    rows = numbered(normalized(batch), "ord", next_id(commits, "commit_id"), "commit_id").select(
+    rows = numbered(normalized(batch), "ord", ids or next_id(commits, "commit_id"), "commit_id").select(
         "commit_id", F.lit(planner).alias("planner_id"), F.lit(vendor).alias("supplier_id"), "product",
         F.col("non_gsa_commit").alias("non_gsa_commit_qty"), F.col("gsa_commit").alias("gsa_commit_qty"),
         F.col("commit").alias("commit_quantity"), F.col("adjustment_type").alias("commit_reason"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame
@@ -11,11 +12,14 @@ from supplyplan.functions.calendar import stamp_text, timestamp_literal
 from supplyplan.functions.text import join_text, normalized
 from supplyplan.plans.ledger import aligned, next_id, numbered
 from supplyplan.plans.skew import lookup_join
+from supplyplan.sources.ledgers import StoredLedger
 
 
-def created_tasks(tasks: DataFrame, actions: DataFrame, as_of: date | datetime) -> DataFrame:
-    """New tasks of a batch, with the `ord` of the action that made them."""
-    made = numbered(normalized(actions).where("action = 'CREATE'"), "ord", next_id(tasks, "task_request_id"), "task_request_id")
+def created_tasks(tasks: DataFrame, actions: DataFrame, as_of: date | datetime,
+                  ids: Callable[[int], int] | None = None) -> DataFrame:
+    """New tasks of a batch, with the `ord` of the action that made them; `ids` reserves their ids (`IdBlocks`)."""
+    first = ids or next_id(tasks, "task_request_id")
+    made = numbered(normalized(actions).where("action = 'CREATE'"), "ord", first, "task_request_id")
     now = timestamp_literal(as_of)
     message = join_text(f"<U>{stamp_text(as_of)} [", F.col("p_from"), "]</U><BR/>", F.col("message"), "<BR/>")
     return made.select(
@@ -41,6 +45,21 @@ def apply_task_actions(tasks: DataFrame, actions: DataFrame, as_of: date | datet
     task end in one text, so its updates are gathered per task by nature of the result.
     """
     created = created_tasks(tasks, actions, as_of)
+    return _updated(tasks.unionByName(aligned(created, tasks)), created, actions, as_of)
+
+
+def store_task_actions(ledger: StoredLedger, actions: DataFrame, as_of: date | datetime,
+                       ids: Callable[[int], int] | None = None) -> int:
+    """`apply_task_actions` on a stored ledger, as one version: only files with an updated task are rewritten."""
+    tasks = ledger.read()
+    created = created_tasks(tasks, actions, as_of, ids)
+    asked = actions.where("action = 'UPDATE'").select(F.col("request_id").try_cast("long").alias("request_id"))
+    return ledger.change(asked.where("request_id IS NOT NULL"), lambda rows: _updated(rows, created, actions, as_of),
+                         _updated(aligned(created, tasks), created, actions, as_of))
+
+
+def _updated(before: DataFrame, created: DataFrame, actions: DataFrame, as_of: date | datetime) -> DataFrame:
+    """Rows of the ledger after the updates of a batch; `created` tells when the batch's own tasks came to be."""
     born = created.select(F.col("task_request_id").alias("request_id"), F.col("ord").alias("born"))
     updates = normalized(actions.withColumn("request_id", F.col("request_id").try_cast("long"))).where(
         "action = 'UPDATE' AND request_id IS NOT NULL")
@@ -53,7 +72,6 @@ def apply_task_actions(tasks: DataFrame, actions: DataFrame, as_of: date | datet
     folded = updates.withColumn("addition", addition).groupBy(F.col("request_id").alias("task_request_id")).agg(
         F.expr("listagg(addition, '') WITHIN GROUP (ORDER BY ord)").alias("added"),
         F.max_by(F.struct("status", "login_value"), "ord").alias("last"))
-    before = tasks.unionByName(aligned(created, tasks))
     after = lookup_join(before, folded, ["task_request_id"], "left")
     touched = F.col("last").isNotNull()
     return after.withColumns({
@@ -62,7 +80,7 @@ def apply_task_actions(tasks: DataFrame, actions: DataFrame, as_of: date | datet
         .otherwise(F.col("task_message")),
         "updated_by": F.when(touched, F.col("last.login_value")).otherwise(F.col("updated_by")),
         "updation_date": F.when(touched, timestamp_literal(as_of)).otherwise(F.col("updation_date")),
-    }).select(*tasks.columns)
+    }).select(*before.columns)
 
 
 def task_action_status(tasks: DataFrame, actions: DataFrame, as_of: date | datetime) -> DataFrame:

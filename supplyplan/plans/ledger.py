@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -27,14 +28,17 @@ def next_id(ledger: DataFrame, column: str) -> int:
     return (ledger.agg(F.max(column)).first()[0] or 0) + 1
 
 
-def numbered(batch: DataFrame, order_by: str, first: int, name: str) -> DataFrame:
+def numbered(batch: DataFrame, order_by: str, first: int | Callable[[int], int], name: str) -> DataFrame:
     """Consecutive ids from `first` in the order of a numeric column, rows without a value first.
 
+    `first` is a number, or a function that reserves as many ids as it is asked for and returns the first.
+
     The batch is cut at its quantiles into pieces that fit one task (one piece, if it is small); each is numbered by
     its own task and shifted by the sizes of the pieces before it. The cuts are constants of the plan, so repeated
-    tasks agree. Rows with equal values are numbered in any order. One writer at a time: `first` is read beforehand.
+    tasks agree. Rows with equal values are numbered in any order. With a number, only one writer may be at work.
     """
     rows = batch.count()
+    first = first(rows) if callable(first) else first
     pieces = -(-rows // Tuning.of(batch.sparkSession).window_rows)
     at = F.col(order_by).cast("double")
     cuts = sorted(set(batch.select(at.alias("at")).approxQuantile(

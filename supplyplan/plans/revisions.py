@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplyplan.functions.quantities import nz
+from supplyplan.functions.text import null_if_empty
 from supplyplan.plans.skew import is_hot
 
 KEYS = ("product", "week_id", "demand_date")
@@ -34,7 +35,7 @@ def revisions(log: DataFrame, quantities: Mapping[str, str], labels: Sequence[st
     """The columns of a log that the plan reads; a revision without a full key joins nothing."""
     complete = F.col("product").isNotNull() & F.col("week_id").isNotNull() & F.col("demand_date").isNotNull()
     return log.where(complete & in_period(week, dates)).select(
-        *KEYS, "creation_date", *labels, *[nz(c).alias(m) for m, c in quantities.items()])
+        *KEYS, "creation_date", *[null_if_empty(F.col(c)).alias(c) for c in labels], *[nz(c).alias(m) for m, c in quantities.items()])
 
 
 def latest(revs: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:

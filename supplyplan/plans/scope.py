@@ -101,7 +101,7 @@ def item_test(f: VarianceFilter) -> Column:
 
 def scoped_items(item_master: DataFrame, system_items: DataFrame) -> DataFrame:
     """Items of the master that are system items of the given set, with their planner."""
-    items = item_master.select("part_name", "part_site", "bu", "build_type")
+    items = item_master.select("part_name", *[null_if_empty(F.col(c)).alias(c) for c in ("part_site", "bu", "build_type")])
     planned = system_items.select(F.col("segment1").alias("part_name"), "planner_code")
     return items.join(planned, "part_name")
 

@@ -439,3 +439,20 @@ def test_seed_reasons_are_dated(spark):
     rows = seed_reasons(spark, [("x", "y", "R")], AS_OF).collect()
     assert {r.creation_date for r in rows} == {AS_OF} and len(rows) == len(SEED_REASONS) + 1
     assert [(r.ar_id, r.ar_value, r.ar_type) for r in rows][:13] == list(SEED_REASONS)
+
+
+def test_empty_labels_and_attributes_are_one_group_with_null(spark):
+    days = [MON + timedelta(k) for k in range(3)]
+    t = plan(spark, [fc(day=d) for d in days],
+             adjustments=[adjust(d, at=AS_OF, adjustment_type=x, adjustment_comments=x) for d, x in zip(days, ("", None, ""))],
+             items=[dict(part_name="P1", part_site=s, product_family="F", dept="D", bu=s, build_type=s) for s in ("", None)])
+    got = variance.variance_by_view(t, "PLNR", "YEAR", ONE, AS_OF).collect()
+    assert [(r.adjustment_type, r.adjustment_comment, r.org, r.bu, r.build_type, r.non_gsa_adjustment) for r in got] == [
+        (None, None, None, None, None, 6)]
+    assert {r.org for r in variance.variance_rows(t, "PLNR", ONE).collect()} == {None}
+
+
+def test_empty_preferences_are_stored_as_null(spark):
+    batch = table(spark, "preferences", dict(user_id=1, user_name="", preference_name="VIEW", preference_value=""))
+    got = preferences.replace_preferences(table(spark, "preferences"), batch).collect()
+    assert [(r.user_name, r.preference_value) for r in got] == [(None, None)]
