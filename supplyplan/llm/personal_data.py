@@ -26,9 +26,11 @@ from .linear import sigmoid
 from .shipping import arrow_map
 
 KINDS = ("email", "ip", "card", "phone")
+#: of an email, the run of letters before the @ and what follows it; a match of the others can't begin within a run of digits,
+#: so that each of these reads a text once, whatever its runs
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]++"), re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -59,7 +61,7 @@ def _digits(s: str) -> str:
 def passes(kind: str, s: str) -> bool:
     """The check that a match of the kind's pattern must pass."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in s.split(".")))
     if kind == "card":
         return 13 <= len(d := _digits(s)) <= 19 and luhn(d)
     if kind == "phone":
@@ -76,6 +78,16 @@ def _may_add(kind: str, s: str) -> bool:
     return passes(kind, s) and s[-1].isdigit()
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of local part, @ and a domain of two labels or more, leftmost and not overlapping."""
+    end = 0
+    for run in _LOCAL.finditer(text):
+        start = max(run.start(), end)  # an earlier email's domain may reach into the run
+        if start < run.end() and (m := _DOMAIN.match(text, run.end())):
+            end = m.end()
+            yield start, end
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if not _TRIGGER.search(text):
@@ -83,7 +95,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     for kind in KINDS:
         if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
             continue
-        out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if passes(kind, m.group())]
+        found = emails(text) if kind == "email" else (m.span() for m in PATTERNS[kind].finditer(text))
+        out += [(kind, a, b) for a, b in found if kind == "email" or passes(kind, text[a:b])]
     return out
 
 
