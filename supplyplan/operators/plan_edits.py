@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def adhoc_status(t: Tables, batch: DataFrame) -> DataFrame:
     products = asked.select("product").where("product IS NOT NULL").distinct()
     known = measure(products=products)["products"]
     few = known.fits(Tuning.of(batch.sparkSession))
-    # a product has at most one row per plan week, so what the batch can meet needs no scan to be measured
+    # the plan has one row for each product, and the batch at most one for each of its plan weeks, so nothing is scanned to be measured
     per_product = Size(known.rows, known.bytes + 16 * known.rows) if few else None
     per_week = Size(_WEEKS * known.rows, _WEEKS * (known.bytes + 32 * known.rows)) if few else None
 
@@ -101,34 +102,39 @@ def adhoc_status(t: Tables, batch: DataFrame) -> DataFrame:
     parts = (of_batch(t.item_master.select(F.col("part_name").alias("product")).where("product IS NOT NULL"))
              .groupBy("product").agg(F.lit(True).alias("known")))
     planned = (of_batch(t.forecast.where(F.col("demand_date").isNotNull())
-                        .select(F.col("component_part").alias("product"),
-                                plan_week(F.col("demand_date")).alias("request_week")))
-               .groupBy("product", "request_week").agg(F.lit(True).alias("planned")))
+                        .select(F.col("component_part").alias("product"), plan_week(F.col("demand_date")).alias("week")))
+               # one bit for each planned week of any year
+               .groupBy("product").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("week"))).alias("weeks")))
     vendors = (t.suppliers.where(F.col("vendor_id").isNotNull()).groupBy("vendor_id")
                .agg(F.count(F.lit(1)).alias("vendors"), F.first("vendor_name").alias("vendor_name")))
     checked = lookup_join(asked, parts, ["product"], "left", per_product, left_spread=order)
-    checked = lookup_join(checked, planned, ["product", "request_week"], "left", per_week, left_spread=order)
+    checked = lookup_join(checked, planned, ["product"], "left", per_product, left_spread=order)
+    checked = checked.withColumn("planned", F.coalesce(F.call_function("getbit", F.col("weeks"), F.col("request_week")) == 1, F.lit(False)))
     checked = lookup_join(checked, vendors, ["vendor_id"], "left", left_spread=order)
     sole_vendor = F.coalesce(F.col("vendors") == 1, F.lit(False))
-    open_slot = F.col("known").isNotNull() & F.col("planned").isNull()
+    open_slot = F.col("known").isNotNull() & ~F.col("planned")
     firsts = (checked.where(open_slot & sole_vendor & F.col("request_week").isNotNull())
               .groupBy("product", "request_week").agg(F.min("ord").alias("first_ord")))
     judged = lookup_join(checked, firsts, ["product", "request_week"], "left", per_week, left_spread=order)
     status = (F.when(F.col("known").isNull(), "INVALID_PRODUCT")
-              .when(F.col("planned").isNotNull() | (order > F.col("first_ord")), "PRESENT")
+              .when(F.col("planned") | (order > F.col("first_ord")), "PRESENT")
               .when(~sole_vendor, "VENDOR_ERROR")
               .otherwise("ACCEPTED"))
-    return judged.withColumn("status", status).drop("known", "planned", "vendors", "first_ord")
+    return judged.withColumn("status", status).drop("known", "weeks", "planned", "vendors", "first_ord")
 
 
-def apply_adhoc(t: Tables, batch: DataFrame, as_of: date | datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_adhoc(t: Tables, batch: DataFrame, as_of: date | datetime,
+                ids: Callable[[int], int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(forecast, adjustments, status) after a batch of ad-hoc forecast requests.
 
+    The judged batch is kept by the first result that runs and serves the others; `status` is that batch, so
+    `status.unpersist()` frees it. Building the results runs nothing on the forecast.
+
     Batch: ord, product, forecast_date, vendor_id, planner, product_family,
     non_gsa_adjustment, gsa_adjustment, adjustment, adjustment_type, adjustment_comment.
     An accepted request adds an empty forecast row and its quantities as an adjustment.
     """
-    judged = adhoc_status(t, batch)
+    judged = adhoc_status(t, batch).persist(StorageLevel.MEMORY_AND_DISK)
     accepted = judged.where("status = 'ACCEPTED'")
     zero = F.lit(0)
     blank = accepted.select(
@@ -137,12 +143,11 @@ def apply_adhoc(t: Tables, batch: DataFrame, as_of: date | datetime) -> tuple[Da
         zero.alias("req_plan_non_gsa"), zero.alias("req_plan_gsa"), zero.alias("req_plan_forecast"),
         zero.alias("req_plan_buffer"), zero.alias("req_plan_buffer_opt_adj"),
         "product_family", F.col("vendor_name").alias("supplier"), F.col("adjustment_comment").alias("remarks"))
-    rows = numbered(accepted, "ord", next_id(t.adjustments, "adjustment_id"), "adjustment_id").select(
+    rows = numbered(accepted, "ord", ids or next_id(t.adjustments, "adjustment_id"), "adjustment_id", within=batch).select(
         "adjustment_id", F.col("planner").alias("planner_id"), F.col("vendor_id").cast("string").alias("supplier_id"),
         "product", F.col("non_gsa_adjustment").alias("req_plan_non_gsa_adj"),
         F.col("gsa_adjustment").alias("req_plan_gsa_adj"), F.col("adjustment").alias("adjustment_quantity"),
         "adjustment_type", F.col("adjustment_comment").alias("adjustment_comments"),
         F.col("forecast_date").alias("demand_date"), "planner")
     adjustments = append(t.adjustments, _stamped(rows, F.col("planner"), as_of))
-    status = judged.select("ord", "product", "forecast_date", "request_week", "status")
-    return append(t.forecast, blank), adjustments, status
+    return append(t.forecast, blank), adjustments, judged

@@ -1,5 +1,7 @@
 """Hand-made frames for the rules that whole-table checks show least clearly."""
 
+import dataclasses
+import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -16,6 +18,7 @@ from supplyplan.functions.text import clean_department, contains_pattern, join_t
 from supplyplan.operators import (
     comparison, lookups, panels, plan_edits, preferences, requests, tasks, variance,
 )
+from supplyplan.plans.ledger import numbered
 from supplyplan.sources.reasons import SEED_REASONS, seed_reasons
 from supplyplan.sources.schemas import SCHEMAS
 
@@ -386,10 +389,59 @@ def test_adhoc(spark):
     assert forecast.schema == t.forecast.schema and adjustments.schema == t.adjustments.schema
 
 
+def test_adhoc_reads_the_forecast_once(spark, tmp_path):
+    """None of the forecast while the results are built, one pass for status and adjustments together."""
+    t = plan(spark, [fc(day=date(2019, 1, 24)), fc(part="P2")], adjustments=[adjust(adjustment_id=20)],
+             items=[dict(part_name=p, part_site="S", product_family="F", dept="D", bu="B", build_type="T") for p in ("P1", "P2")])
+    spied = t.forecast.coalesce(1).mapInArrow(_spy(str(tmp_path)), t.forecast.schema)
+    batch = _adhoc(spark, *[(k, f"P{k % 2 + 1}", MON + timedelta(7 * k), 1) for k in range(20)])
+    forecast, adjustments, status = plan_edits.apply_adhoc(dataclasses.replace(t, forecast=spied), batch, AS_OF)
+    assert not list(tmp_path.iterdir())
+    accepted = status.where("status = 'ACCEPTED'").count()
+    new = adjustments.where("adjustment_id > 20").collect()
+    assert sorted(r.adjustment_id for r in new) == list(range(21, 21 + accepted))
+    assert len(list(tmp_path.iterdir())) == 1
+    assert forecast.count() == 2 + accepted
+    status.unpersist()
+
+
+def _spy(folder):
+    def passed(batches):
+        import os
+        import uuid
+
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        yield from batches
+    return passed
+
+
+def test_adhoc_weeks_of_many_years_and_products(spark):
+    """The mask of planned weeks against a plain set of (product, week)."""
+    r = random.Random(1)
+    days = [date(2015, 1, 1) + timedelta(r.randrange(3000)) for _ in range(60)]
+    planned = [("P%d" % r.randrange(4), d) for d in days]
+    t = plan(spark, [fc(part=p, day=d) for p, d in planned], items=[
+        dict(part_name=f"P{k}", part_site="S", product_family="F", dept="D", bu="B", build_type="T") for k in range(4)])
+    asked = [(k, f"P{r.randrange(5)}", date(2023, 1, 1) + timedelta(r.randrange(366)), 1) for k in range(150)]
+    seen, expected = {(p, plan_week_of(d)) for p, d in planned}, {}
+    for k, p, d, _ in asked:
+        slot = p, plan_week_of(d)
+        expected[k] = "INVALID_PRODUCT" if p == "P4" else "PRESENT" if slot in seen else "ACCEPTED"
+        seen |= {slot} if expected[k] == "ACCEPTED" else set()
+    got = plan_edits.adhoc_status(t, _adhoc(spark, *asked)).collect()
+    assert {x.ord: x.status for x in got} == expected and set(expected.values()) == {"INVALID_PRODUCT", "PRESENT", "ACCEPTED"}
+
+
+def test_numbering_within_a_larger_frame(spark, tuned):
+    tuned(windowRows=7)
+    rows = spark.createDataFrame([(k if k % 9 else None, k) for k in range(100)], "ord long, v long")
+    few = rows.where("v % 3 = 0")
+    a, b = (sorted((x.id, x.ord) for x in numbered(few, "ord", 5, "id", within=w).collect()) for w in (None, rows))
+    assert a == b and [k for k, _ in a] == list(range(5, 39))
+
+
 def test_numbering_keeps_rows_without_an_order(spark, tuned):
     """Every size of batch numbers rows without or with equal order values, first those without."""
-    from supplyplan.plans.ledger import numbered
-
     batch = spark.createDataFrame([(None, "a"), (3, "b"), (None, "c"), (3, "d"), (1, "e"), (2, "f"), (9, "g")], "ord long, v string")
     for limit in (100, 4, 2, 1):
         tuned(windowRows=limit)
