@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shipping import arrow_map
+from .shipping import arrow_map, give_back
 from .textcodes import gather
 from .tokens import Encoder
 
 #: remembered answers on neighbouring tokens
 MEMO = 1 << 20
 #: bytes of text, or ids, that are worked on at once
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class Vocabulary:
@@ -271,6 +271,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
         for lo, hi in _runs([len(t) for t in texts], BLOCK):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].slice(lo, hi - lo), _lists(encode(texts[lo:hi]))], ["doc_id", "ids"])
+    give_back()
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -285,18 +286,19 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
     starts, data = np.cumsum(lens) - lens, np.frombuffer(b"".join(texts), np.uint8)
     for batch in batches:
         column = batch["ids"]
-        for lo, hi in _runs([len(x) if x.is_valid else 0 for x in column], BLOCK):
+        for lo, hi in _runs(np.diff(column.offsets.to_numpy()).tolist(), BLOCK):
             part = column.slice(lo, hi - lo)
             ids = part.flatten().to_numpy(zero_copy_only=False)
             if len(ids) and (part.flatten().null_count or ids.min() < 0 or ids.max() >= len(texts) or not lens[ids].all()):
                 raise ValueError("an id is not in the vocabulary")
             sizes = lens[ids] if len(ids) else lens[:0]
-            cuts = np.cumsum([0, *(len(x) if x.is_valid else 0 for x in part)])
+            cuts = np.concatenate([[0], np.cumsum(np.diff(part.offsets.to_numpy()))])
             ends = np.concatenate([[0], np.cumsum(sizes)])[cuts]
             raw = data[gather(starts[ids], sizes)].tobytes() if len(ids) else b""
             out = [raw[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], part.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), part, pa.array(out, pa.binary())],
                                              ["doc_id", "ids", "decoded"])
+    give_back()
 
 
 def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:

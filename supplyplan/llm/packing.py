@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
-from .shipping import arrow_map
+from .shipping import arrow_map, give_back
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -32,6 +32,8 @@ END = 0
 SLACK = 16
 #: items that one task packs at a time
 ITEMS = 100_000
+#: characters that are encoded at once
+BLOCK = 1 << 18
 #: a round that joins less than this share of the bins is the last
 GAIN = 0.01
 
@@ -73,7 +75,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size < 1 << 20):
+            while hi < len(texts) and (hi == lo or size < BLOCK):
                 size += len(texts[hi] or "")
                 hi += 1
             rows = []
@@ -89,6 +91,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
             k = 5 + with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows))[:k], kinds)], names[:k])
             lo = hi
+    give_back()
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

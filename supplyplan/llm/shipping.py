@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -32,3 +34,11 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow; `function` takes and gives iterators of record batches."""
     send_package(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, at the end of a task: workers live on, and several of them share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

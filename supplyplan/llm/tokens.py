@@ -20,7 +20,8 @@ PLAIN = ((0x0000, 0x0530), (0x2000, 0x2070))
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]
 #: what may follow an apostrophe as one pre-token
 ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
-CACHE_ENTRIES = 1 << 21
+#: distinct pre-tokens that a worker remembers, some 20 MB
+CACHE_ENTRIES = 1 << 19
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +88,10 @@ class Encoder:
             self._clear()
         new = [e.ids for e in self.library.encode_batch(strings, add_special_tokens=False)]
         lens = np.array([len(x) for x in new], np.int64)
-        keys = np.concatenate([self.keys, keys])
-        offs = np.concatenate([self.offs, len(self.ids) + np.cumsum(lens) - lens])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.offs, self.lens = keys[order], offs[order], np.concatenate([self.lens, lens])[order]
-        self.ids = np.concatenate([self.ids, np.concatenate([np.array(x, np.uint32) for x in new])])
+        at = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.lens = np.insert(self.keys, at, keys), np.insert(self.lens, at, lens)
+        self.offs = np.insert(self.offs, at, len(self.ids) + np.cumsum(lens) - lens)
+        self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in new)])
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
