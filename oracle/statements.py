@@ -369,6 +369,6 @@ def statements() -> dict[str, str]:
         "q_compare_weeks": _compare("f.demand_date", (
             f"{week('f.demand_date')} = 3", "year(f.demand_date - INTERVAL 7 DAY) = 1998")),
     }
-    # a stored ledger read back holds the same rows
-    return queries | {f"{name}_stored": queries[f"{name}_{step}"] for name, step in (
+    # a stored ledger read back, or a report from kept totals, holds the same rows
+    return queries | {"q_variance_week_kept": queries["q_variance_week"]} | {f"{name}_stored": queries[f"{name}_{step}"] for name, step in (
         ("q_requests", "approval"), ("q_tasks", "update"), ("q_preferences", "replace"))}

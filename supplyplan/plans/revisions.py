@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,3 +64,26 @@ def totals(current: DataFrame, measures: Iterable[str], count: str, labels: Sequ
     """Number and quantity sums of the current revisions per key (and label)."""
     return current.groupBy(*KEYS, *labels).agg(
         F.count(F.lit(1)).alias(count), *[F.sum(m).alias(m) for m in measures])
+
+
+def summarized(revs: DataFrame, measures: Iterable[str], labels: Sequence[str]) -> DataFrame:
+    """Revisions as one row per key, creation date and label, with their number (`rows`) and sums."""
+    return revs.groupBy(*KEYS, "creation_date", *labels).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(m).alias(m) for m in measures])
+
+
+def merged(summaries: Sequence[DataFrame], measures: Iterable[str], labels: Sequence[str]) -> DataFrame:
+    """One summary of several, cut down to each key's newest date.
+
+    What a merge drops can't become current again, so merging is associative: summaries of batches merged in any
+    grouping hold what the summary of the whole log holds.
+    """
+    rows = reduce(DataFrame.unionByName, summaries)
+    current = rows.withColumn("_newest", F.max("creation_date").over(Window.partitionBy(*KEYS))).where(
+        F.col("creation_date").eqNullSafe(F.col("_newest")))
+    return current.groupBy(*KEYS, "creation_date", *labels).agg(*[F.sum(m).alias(m) for m in ("rows", *measures)])
+
+
+def summed(summary: DataFrame, measures: Iterable[str], count: str, labels: Sequence[str] = ()) -> DataFrame:
+    """`totals` of a summary that holds current revisions only."""
+    return summary.groupBy(*KEYS, *labels).agg(F.sum("rows").alias(count), *[F.sum(m).alias(m) for m in measures])

@@ -17,12 +17,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplyplan.functions.quantities import ADJUSTMENTS, COMMITS, FORECAST, nz
 from supplyplan.functions.text import supplier_key
-from supplyplan.plans.revisions import KEYS, in_period, latest, revisions, totals
+from supplyplan.plans.revisions import KEYS, in_period, latest, revisions, summed, totals
 from supplyplan.plans.scope import Scope
 from supplyplan.plans.sizing import Size, Tuning, measure
 from supplyplan.plans.skew import (
@@ -45,6 +45,7 @@ class Plan:
     sizes: Mapping[str, Size]
     tuning: Tuning
     hot: Mapping[str, dict[int, int]] = field(default_factory=dict)
+    kept: frozenset[str] = frozenset()  # logs that are given as their current totals
 
     @property
     def small_items(self) -> bool:
@@ -60,12 +61,18 @@ def load_plan(t: Tables, scope: Scope, rows: bool = False) -> Plan:
     """
     tuning = Tuning.of(t.forecast.sparkSession)
     fc = t.forecast.where(F.col("component_part").isNotNull() & in_period(scope.week, scope.dates))
-    commits = revisions(t.commits, COMMITS, COMMIT_LABELS, scope.week, scope.dates)
-    adjustments = revisions(t.adjustments, ADJUSTMENTS, ADJUSTMENT_LABELS, scope.week, scope.dates)
-    # rows of the plan tables are counted without reading a key column
     period = in_period(scope.week, scope.dates)
+    totals_of = {} if rows else {n: df for n, df in (("commits", t.commit_totals), ("adjustments", t.adjustment_totals)) if df is not None}
+
+    def log(name: str, quantities: Mapping[str, str], labels: Sequence[str]) -> DataFrame:
+        if name in totals_of:
+            return totals_of[name].where(period).select(*KEYS, "creation_date", *labels, "rows", *quantities)
+        return revisions(getattr(t, name), quantities, labels, scope.week, scope.dates)
+
+    commits, adjustments = log("commits", COMMITS, COMMIT_LABELS), log("adjustments", ADJUSTMENTS, ADJUSTMENT_LABELS)
+    # rows of the plan tables are counted without reading a key column
     to_measure = {"items": scope.items, **{
-        n: getattr(t, n).where(period).select() for n in ("forecast", "commits", "adjustments")}}
+        n: totals_of.get(n, getattr(t, n)).where(period).select() for n in ("forecast", "commits", "adjustments")}}
     if scope.suppliers is not None:
         to_measure["suppliers"] = scope.suppliers
     sizes = measure(**to_measure)
@@ -86,9 +93,9 @@ def load_plan(t: Tables, scope: Scope, rows: bool = False) -> Plan:
         fc = lookup_join(fc, scope.suppliers, ["supplier_key"], "left_semi", sizes["suppliers"], spread)
 
     by_name = {"forecast": fc, "commits": commits, "adjustments": adjustments}
-    wanted = large if rows else large - {"forecast"}
+    wanted = (large if rows else large - {"forecast"}) - totals_of.keys()
     hot = {n: hot_keys(by_name[n], KEYS, tuning) for n in wanted}
-    return Plan(fc, commits, adjustments, scope.items, sizes, tuning, hot)
+    return Plan(fc, commits, adjustments, scope.items, sizes, tuning, hot, frozenset(totals_of))
 
 
 def _collapsed(df: DataFrame, buckets: Sequence[str], name: str, keep: Sequence[str]) -> DataFrame:
@@ -109,14 +116,20 @@ def plan_totals(plan: Plan, by_supplier: bool = False, labels: Sequence[str] = (
     in_f, in_c, in_a = list(FORECAST), list(COMMITS), list(ADJUSTMENTS)
     if collapse:
         forecast = _collapsed(forecast, in_f[:3], "forecast", [*KEYS, *extra])
-        commits = _collapsed(commits, in_c, "commit", [*KEYS, "creation_date", *COMMIT_LABELS])
-        adjustments = _collapsed(adjustments, in_a, "adjustment", [*KEYS, "creation_date", *ADJUSTMENT_LABELS])
+        commits, adjustments = (
+            _collapsed(df, in_x, m, [*KEYS, "creation_date", *names, *["rows"] * (n in plan.kept)])
+            for df, in_x, m, names, n in ((commits, in_c, "commit", COMMIT_LABELS, "commits"),
+                                          (adjustments, in_a, "adjustment", ADJUSTMENT_LABELS, "adjustments")))
         in_f, in_c, in_a = ["forecast"], ["commit"], ["adjustment"]
     f = forecast.groupBy(*KEYS, *extra).agg(
         F.count(F.lit(1)).alias("f_rows"), *[F.sum(m).alias(m) for m in in_f])
-    c = totals(latest(commits, plan.hot.get("commits")), in_c, "c_rows", [x for x in labels if x in COMMIT_LABELS])
-    a = totals(latest(adjustments, plan.hot.get("adjustments")), in_a, "a_rows",
-               [x for x in labels if x in ADJUSTMENT_LABELS])
+
+    def current(name: str, df: DataFrame, measures: list[str], count: str, all_labels: Sequence[str]) -> DataFrame:
+        by = [x for x in labels if x in all_labels]
+        return summed(df, measures, count, by) if name in plan.kept else totals(latest(df, plan.hot.get(name)), measures, count, by)
+
+    c = current("commits", commits, in_c, "c_rows", COMMIT_LABELS)
+    a = current("adjustments", adjustments, in_a, "a_rows", ADJUSTMENT_LABELS)
     # equal item rows of a product are counted, not repeated
     items = plan.items.groupBy(F.col("part_name").alias("product"), *attributes).agg(
         F.count(F.lit(1)).alias("i_rows"))
@@ -125,11 +138,16 @@ def plan_totals(plan: Plan, by_supplier: bool = False, labels: Sequence[str] = (
     # a side without a match still contributes one (empty) row to the product of groups
     n_f, n_i = F.col("f_rows"), F.col("i_rows")
     n_c, n_a = F.coalesce("c_rows", F.lit(1)), F.coalesce("a_rows", F.lit(1))
-    return joined.select(
-        *KEYS, *extra, *labels, *attributes, (n_f * n_c * n_a * n_i).alias("plan_rows"),
-        *[(F.col(m) * (n_c * n_a * n_i)).alias(m) for m in in_f],
-        *[(nz(m) * (n_f * n_a * n_i)).alias(m) for m in in_c],
-        *[(nz(m) * (n_f * n_c * n_i)).alias(m) for m in in_a])
+    times = {"f_times": n_c * n_a * n_i, "c_times": n_f * n_a * n_i, "a_times": n_f * n_c * n_i}
+    counted = joined.withColumns(times | {"plan_rows": n_f * n_c * n_a * n_i})
+
+    def repeated(m: str, count: str) -> Column:
+        # most groups have one row, and a product of wide decimals is dear
+        return F.when(F.col(count) == 1, nz(m)).otherwise(nz(m) * F.col(count)).alias(m)
+
+    return counted.select(
+        *KEYS, *extra, *labels, *attributes, "plan_rows", *[repeated(m, "f_times") for m in in_f],
+        *[repeated(m, "c_times") for m in in_c], *[repeated(m, "a_times") for m in in_a])
 
 
 def sum_measures(df: DataFrame, by: Sequence[str]) -> DataFrame:

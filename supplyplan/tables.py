@@ -28,3 +28,6 @@ class Tables:
     users: DataFrame | None = None
     supplier_contacts: DataFrame | None = None
     supplier_sites: DataFrame | None = None
+    # sums of current revisions (`CurrentTotals`), which reports of sums then read instead of the logs
+    commit_totals: DataFrame | None = None
+    adjustment_totals: DataFrame | None = None
