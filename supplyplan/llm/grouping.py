@@ -1,8 +1,8 @@
 """Links within candidate buckets, without all pairs of a bucket.
 
-Of each bucket four pivots meet all members, and the links found make components. Three pivots are taken among the
-most central members, those that share most with others, for near copies of one text often resemble it more than each
-other. Members of one bucket that are still in different components are then compared in blocks: a task gets two
+Every member first meets one pivot, the most central of its buckets, and the links found make components. Of each
+bucket four pivots then meet the members of other components. Three pivots are taken among the most central members,
+those that share most with others, for near copies of one text often resemble it more than each other. Members of one bucket that are still in different components are then compared in blocks: a task gets two
 blocks of a bucket and emits the links only. So no link between components is lost, a bucket of thousands of alike
 members costs a few pairs for each, and one of thousands of unlike members is spread over many tasks.
 """
@@ -32,19 +32,36 @@ def _pair(left: str, right: str, fits: Fits) -> tuple[Column, Column, Column]:
             fits(F.col(f"{left}_n"), F.col(f"{right}_n")) & (F.col(left) != F.col(right)))
 
 
-def _star_pairs(members: DataFrame, fits: Fits) -> DataFrame:
-    """Every member of a bucket with the bucket's pivots."""
+def _pivots(members: DataFrame) -> DataFrame:
+    """The pivots (rep, n, weight) of each bucket, the most central first."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     weights = members.join(sizes, "bucket").groupBy("rep").agg(F.floor(4 * F.log(F.sum("size"))).alias("weight"))
     ranked = members.join(weights, "rep")
     central = [F.max(F.struct("weight", F.xxhash64("rep", F.lit(k)).alias("r"), "rep", "n")) for k in range(CENTRAL)]
     any_one = F.min(F.struct(F.lit(0).cast("bigint").alias("weight"), F.xxhash64("rep").alias("r"), "rep", "n"))
-    pivots = ranked.groupBy("bucket").agg(F.array_distinct(F.transform(
-        F.array(*central, any_one), lambda p: F.struct(p["rep"].alias("rep"), p["n"].alias("n")))).alias("pivots"))
-    met = members.join(pivots, "bucket").select("rep", F.col("n").alias("rep_n"), F.explode("pivots").alias("p")).select(
-        "rep", "rep_n", F.col("p.rep").alias("to"), F.col("p.n").alias("to_n"))
+    named = lambda p: F.struct(p["rep"].alias("rep"), p["n"].alias("n"), F.coalesce(p["weight"], F.lit(0)).alias("weight"))
+    return ranked.groupBy("bucket").agg(F.transform(F.array(*central, any_one), named).alias("pivots"))
+
+
+def _first_pairs(members: DataFrame, pivots: DataFrame, fits: Fits) -> DataFrame:
+    """Every member with one pivot: of those of its buckets the most central that it can be linked to."""
+    met = members.join(pivots.select("bucket", F.col("pivots")[0].alias("p")), "bucket").select(
+        "rep", F.col("n").alias("rep_n"), F.col("p.rep").alias("to"), F.col("p.n").alias("to_n"), F.col("p.weight").alias("weight"))
+    _, _, may = _pair("rep", "to", fits)
+    best = met.filter(may).groupBy("rep").agg(F.max(F.struct("weight", "to")).alias("best"))
+    return best.select(F.least("rep", "best.to").alias("a"), F.greatest("rep", "best.to").alias("b")).distinct()
+
+
+def _star_pairs(members: DataFrame, pivots: DataFrame, labels: DataFrame, fits: Fits) -> DataFrame:
+    """Every member with those pivots of its buckets that are in another component."""
+    own = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    centres = pivots.select("bucket", F.explode("pivots").alias("p")).select(
+        "bucket", F.col("p.rep").alias("to"), F.col("p.n").alias("to_n")).distinct().join(
+        labels.select(F.col("rep").alias("to"), F.col("label").alias("to_label")), "to", "left").withColumn(
+        "to_label", F.coalesce("to_label", "to"))
+    met = own.withColumnRenamed("n", "rep_n").join(centres, "bucket")
     a, b, may = _pair("rep", "to", fits)
-    return met.filter(may).select(a, b).distinct()
+    return met.filter(may & (F.col("label") != F.col("to_label"))).select(a, b).distinct()
 
 
 def _blocks(apart: DataFrame) -> DataFrame:
@@ -106,8 +123,11 @@ def links_in_buckets(members: DataFrame, payloads: DataFrame, verify: Callable[[
     `verify` finds the links among pairs (a, b), `verify_block` those among pairs of a list of payloads (rep, payload);
     `fits` tells from the sizes n whether a pair can be linked at all.
     """
-    tested = stored(_star_pairs(members, fits), "pairs")
-    links = stored(verify(tested), "links")
+    pivots = stored(_pivots(members), "pivots")
+    first = stored(verify(stored(_first_pairs(members, pivots, fits), "pairs")), "links")
+    labels = components(first).withColumnRenamed("node", "rep")
+    more = verify(stored(_star_pairs(members, pivots, labels, fits), "pairs"))
+    links = stored(first.unionByName(more), "links")
     labels = components(links).withColumnRenamed("node", "rep")
     apart = stored(members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled-members")
     dealt = _blocks(apart).join(payloads, "rep").repartition(partitions(members.sparkSession), "bucket", "lo", "hi").sortWithinPartitions(
@@ -125,8 +145,13 @@ def _group_counts(group: pa.Table, verify, fits: Fits) -> Iterator[pa.RecordBatc
     may = fits(n[x], n[y]) & ((x < y) | (lo != hi))
     x, y = x[may], y[may]
     if len(x):
-        before = [{b for b in own if b < bucket} for own in group["buckets"].to_pylist()]
-        here = np.array([before[a].isdisjoint(before[b]) for a, b in zip(x.tolist(), y.tolist())], bool)
+        lists = group["buckets"].combine_chunks()
+        owner = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
+        buckets = lists.flatten().to_numpy()
+        earlier, column = np.unique(buckets[buckets < bucket], return_inverse=True)
+        held = np.zeros((len(rep), len(earlier)), np.float32)
+        held[owner[buckets < bucket], column] = 1
+        here = (held @ held.T)[x, y] == 0  # the pair shares no earlier bucket
         x, y = x[here], y[here]
     if len(x):
         found = verify(group["payload"].to_pylist(), x, y)
