@@ -32,11 +32,11 @@ def in_period(week: int | None, dates: tuple[date, date] | None) -> Column:
 
 
 def revisions(log: DataFrame, quantities: Mapping[str, str], labels: Sequence[str] = (),
-              week: int | None = None, dates: tuple[date, date] | None = None) -> DataFrame:
-    """The columns of a log that the plan reads; a revision without a full key joins nothing."""
+              week: int | None = None, dates: tuple[date, date] | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """The columns of a log that the plan reads, and `also` others; a revision without a full key joins nothing."""
     complete = F.col("product").isNotNull() & F.col("week_id").isNotNull() & F.col("demand_date").isNotNull()
     return log.where(complete & in_period(week, dates)).select(
-        *KEYS, "creation_date", *[null_if_empty(F.col(c)).alias(c) for c in labels], *[nz(c).alias(m) for m, c in quantities.items()])
+        *KEYS, "creation_date", *[null_if_empty(F.col(c)).alias(c) for c in labels], *[nz(c).alias(m) for m, c in quantities.items()], *also)
 
 
 def latest(revs: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:

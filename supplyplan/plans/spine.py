@@ -26,7 +26,7 @@ from supplyplan.plans.revisions import KEYS, in_period, latest, revisions, summe
 from supplyplan.plans.scope import Scope
 from supplyplan.plans.sizing import Size, Tuning, measure
 from supplyplan.plans.skew import (
-    ROW_ID, hot_keys, is_hot, key_hash, lookup_join, salts_for, skew_join, with_row_id,
+    ROW_ID, hot_keys, lookup_join, with_key_types, with_row_id,
 )
 from supplyplan.tables import Tables
 
@@ -67,7 +67,8 @@ def load_plan(t: Tables, scope: Scope, rows: bool = False) -> Plan:
     def log(name: str, quantities: Mapping[str, str], labels: Sequence[str]) -> DataFrame:
         if name in totals_of:
             return totals_of[name].where(period).select(*KEYS, "creation_date", *labels, "rows", *quantities)
-        return revisions(getattr(t, name), quantities, labels, scope.week, scope.dates)
+        df = getattr(t, name)
+        return revisions(with_row_id(df) if rows else df, quantities, labels, scope.week, scope.dates, [ROW_ID] * rows)
 
     commits, adjustments = log("commits", COMMITS, COMMIT_LABELS), log("adjustments", ADJUSTMENTS, ADJUSTMENT_LABELS)
     # rows of the plan tables are counted without reading a key column
@@ -78,7 +79,7 @@ def load_plan(t: Tables, scope: Scope, rows: bool = False) -> Plan:
     sizes = measure(**to_measure)
     large = {n for n in ("forecast", "commits", "adjustments") if sizes[n].rows > tuning.hot_rows}
 
-    if large and rows:
+    if rows:
         fc = with_row_id(fc)
     fc = fc.select(
         F.col("component_part").alias("product"), "week_id", "demand_date",
@@ -93,7 +94,7 @@ def load_plan(t: Tables, scope: Scope, rows: bool = False) -> Plan:
         fc = lookup_join(fc, scope.suppliers, ["supplier_key"], "left_semi", sizes["suppliers"], spread)
 
     by_name = {"forecast": fc, "commits": commits, "adjustments": adjustments}
-    wanted = (large if rows else large - {"forecast"}) - totals_of.keys()
+    wanted = large - {"forecast"} - totals_of.keys()
     hot = {n: hot_keys(by_name[n], KEYS, tuning) for n in wanted}
     return Plan(fc, commits, adjustments, scope.items, sizes, tuning, hot, frozenset(totals_of))
 
@@ -156,39 +157,79 @@ def sum_measures(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def plan_rows(plan: Plan, attributes: Sequence[str] = ()) -> DataFrame:
-    """Every row of the joined plan with the given item attributes."""
-    tuning, keys = plan.tuning, list(KEYS)
-    candidates = {k for counts in plan.hot.values() for k in counts}
-    rows, spread = plan.forecast, None
-    if ROW_ID in rows.columns:
-        spread = F.col(ROW_ID)
-    per_key = dict(plan.hot.get("forecast", {}))
-    # a log is worth measuring where it is short or cut down to few items
-    sides = {n: getattr(plan, n) for n in ("commits", "adjustments")
-             if plan.small_items or plan.sizes[n].rows <= tuning.hot_rows}
-    small = {n for n, size in measure(**sides).items() if size.fits(tuning)} if sides else set()
-    for name in ("commits", "adjustments"):
-        current = latest(getattr(plan, name), plan.hot.get(name))
-        if name in small:
-            rows = rows.join(F.broadcast(current), keys, "left")
-            continue
-        counts = _rows_of(current, candidates)
-        rows = skew_join(rows, current, keys, "left", salts_for(per_key, tuning), salts_for(counts, tuning),
-                         left_spread=spread)
-        for k, n in counts.items():
-            per_key[k] = per_key.get(k, tuning.hot_rows) * n
+    """Every row of the joined plan with the given item attributes.
+
+    The rows of a key are a product of three groups. Where that exceeds what one task may hold, the key is dealt out
+    on a grid: its forecast rows, commits and adjustments into pieces each, and every triple of pieces is one cell.
+    """
+    keys, cell = list(KEYS), ["_i", "_j", "_k"]
+    logs = {n: latest(getattr(plan, n), plan.hot.get(n)) for n in ("commits", "adjustments")}
+    heavy = _heavy_products(plan)
+    if heavy is None:
+        # a log is worth measuring where it is short or cut down to few items
+        sides = {n: getattr(plan, n) for n in logs if plan.small_items or plan.sizes[n].rows <= plan.tuning.hot_rows}
+        small = {n for n, size in measure(**sides).items() if size.fits(plan.tuning)} if sides else set()
+        rows = plan.forecast
+        for name, current in logs.items():
+            current = with_key_types(current.drop(ROW_ID), rows, keys)
+            rows = rows.join(F.broadcast(current) if name in small else current, keys, "left")
+    else:
+        rows = _in_cells(plan.forecast, heavy, 0, keep=(ROW_ID, "_commits", "_adjustments"))
+        for side, (name, current) in enumerate(logs.items(), 1):
+            met = f"_met_{name}"
+            dealt = _in_cells(with_key_types(current, plan.forecast, keys), heavy, side).withColumn(met, F.lit(True))
+            # where a key has rows on a side, a cell without any adds nothing
+            rows = rows.join(dealt, [*keys, *cell], "left").where(F.col(met).isNotNull() | ~F.col(f"_{name}")).drop(met)
+        rows = rows.drop(*cell, "_commits", "_adjustments")
     items = plan.items.select(F.col("part_name").alias("product"), *attributes)
     if plan.small_items:
         rows = rows.join(F.broadcast(items), "product")
     else:
-        rows = lookup_join(rows, items, ["product"], "inner", plan.sizes["items"], spread)
+        rows = lookup_join(rows, items, ["product"], "inner", plan.sizes["items"], F.col(ROW_ID))
     return rows.drop(ROW_ID)
 
 
-def _rows_of(current: DataFrame, hashes: set[int]) -> dict[int, int]:
-    """Exact row counts of the candidate heavy keys; the answer has one row per candidate."""
-    if not hashes:
-        return {}
-    counted = (current.where(is_hot(KEYS, dict.fromkeys(hashes))).groupBy(key_hash(KEYS).alias("k"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    return {r["k"]: r["n"] for r in counted.collect()}
+#: keys that are dealt out at most
+_HEAVY = 1000
+
+
+def _heavy_products(plan: Plan) -> DataFrame | None:
+    """The keys whose product of groups is too large for a task, with the pieces of each side; None if there are none.
+
+    Rows are counted per key and side with map-side combine. The answer is bounded: it names the largest products only,
+    and each other key makes less than a thousandth of all rows.
+    """
+    def current_rows(log: DataFrame, name: str) -> DataFrame:
+        dated = log.groupBy(*KEYS, "creation_date").agg(F.count(F.lit(1)).alias("n"))
+        return dated.groupBy(*KEYS).agg(F.max(F.struct("creation_date", "n"))["n"].alias(name))
+
+    counts = (plan.forecast.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("f"))
+              .join(with_key_types(current_rows(plan.commits, "c"), plan.forecast, KEYS), list(KEYS), "left")
+              .join(with_key_types(current_rows(plan.adjustments, "a"), plan.forecast, KEYS), list(KEYS), "left"))
+    made = F.col("f").cast("double") * F.coalesce("c", F.lit(1)) * F.coalesce("a", F.lit(1))
+    top = counts.withColumn("_made", made).where(F.col("_made") > plan.tuning.hot_rows).orderBy(
+        F.desc("_made")).limit(_HEAVY).collect()
+    if not top:
+        return None
+    rows = []
+    for r in top:
+        left, pieces = -(-r["_made"] // plan.tuning.hot_rows), []
+        for n in (r["f"], r["c"] or 1, r["a"] or 1):
+            pieces.append(int(min(n, left)))
+            left = -(-left // pieces[-1])
+        rows.append((*[r[k] for k in KEYS], pieces, r["c"] is not None, r["a"] is not None))
+    schema = ", ".join(f"{k} {plan.forecast.schema[k].dataType.simpleString()}" for k in KEYS)
+    return plan.forecast.sparkSession.createDataFrame(rows, f"{schema}, _pieces array<int>, _commits boolean, _adjustments boolean")
+
+
+def _in_cells(df: DataFrame, heavy: DataFrame, side: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows with their cells `_i`, `_j`, `_k`: one piece of the row's own side, all pieces of the other sides."""
+    marked = df.join(F.broadcast(heavy), list(KEYS), "left")  # at most a thousand rows
+    pieces = F.coalesce("_pieces", F.array(F.lit(1), F.lit(1), F.lit(1)))
+    dealt = marked.withColumn("_pieces", pieces).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_commits", "_adjustments")})
+    for axis, name in enumerate(("_i", "_j", "_k")):
+        n = F.col("_pieces")[axis]
+        own = F.pmod(F.xxhash64(ROW_ID), n).cast("int")
+        dealt = dealt.withColumn(name, own if axis == side else F.explode(F.sequence(F.lit(0), n - 1)))
+    extra = {"_pieces", "_commits", "_adjustments", ROW_ID} - set(keep)
+    return dealt.drop(*extra)

@@ -1,6 +1,7 @@
 """Results do not depend on sizes: tight limits force every fallback and deal out most keys."""
 
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +9,14 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from conftest import SMALL
 from helpers import duck_bag, frame_bag, same
+from test_rules import AS_OF, MON, ONE, adjust, commit, fc, plan
+from supplyplan.operators import variance
 from supplyplan.plans.ledger import numbered
 from supplyplan.plans.revisions import KEYS, latest
+from supplyplan.plans.scope import resolve
 from supplyplan.plans.sizing import Tuning, measure
 from supplyplan.plans.skew import hot_keys, key_hash, lookup_join, salts_for, skew_join
+from supplyplan.plans.spine import _heavy_products, _in_cells, load_plan, plan_rows
 
 QUERIES = entry_points.queries()
 STATEMENTS = entry_points.oracle_sql()
@@ -128,3 +133,38 @@ def test_measure(spark):
     size = measure(a=df, b=df.limit(0))
     assert size["a"].rows == 2 and size["a"].bytes == 2 * (32 + 8) + 3
     assert size["b"].rows == size["b"].bytes == 0
+
+
+def test_a_product_of_groups_is_dealt_out(spark, tuned):
+    """Few equal rows on each side, too many together: no task makes more than its share, and all rows are there."""
+    tuned(hotRows=2000)
+    n = 30
+    t = plan(spark, [fc() for _ in range(n)] + [fc(part="P2"), fc(part="P3")], [commit(at=AS_OF) for _ in range(n)] + [commit(product="P2", at=AS_OF)],
+             [adjust(at=AS_OF) for _ in range(n)] + [adjust(product="P3", at=AS_OF)],
+             items=[dict(part_name=p, part_site="S", product_family="F", dept="D", bu="B", build_type="T") for p in ("P1", "P2", "P3")])
+    rows = plan_rows(load_plan(t, resolve(t, ONE), rows=True))
+    made = {r["product"]: r["n"] for r in rows.groupBy("product").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert made == {"P1": n ** 3, "P2": 1, "P3": 1}
+    assert rows.where("product = 'P2' AND non_gsa_commit = 1 AND non_gsa_adjustment IS NULL").count() == 1
+    as_large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    [spark.conf.set(k, v) for k, v in as_large.items()]
+    try:
+        shares = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        [spark.conf.unset(k) for k in as_large]
+    assert len(shares) == 4 and max(shares) < 0.7 * n ** 3  # four shuffle partitions in tests
+    cells = _in_cells(load_plan(t, resolve(t, ONE), rows=True).forecast, _heavy_products(load_plan(t, resolve(t, ONE), rows=True)), 0)
+    assert cells.where("product = 'P1'").select("_i", "_j", "_k").distinct().count() > 7  # of 14 pieces
+
+
+@pytest.mark.parametrize("sides", [(12, 0, 30), (12, 30, 0), (400, 1, 1), (1, 20, 20), (3, 11, 13)])
+def test_dealt_products_equal_plain_ones(sides, spark, tuned):
+    f, c, a = sides
+    days = [MON, MON + timedelta(7)]
+    t = plan(spark, [fc(day=d, req_plan_non_gsa=k) for k in range(f) for d in days], [commit(day=MON, at=AS_OF, qty=k) for k in range(c)],
+             [adjust(day=MON, at=AS_OF, qty=k) for k in range(a)])
+    plain = variance.variance_rows(t, "PLNR", ONE)
+    expected = frame_bag(plain)
+    tuned(hotRows=7)
+    assert frame_bag(variance.variance_rows(t, "PLNR", ONE)) == expected
+    assert sum(expected.values()) == f * max(c, 1) * max(a, 1) + f
