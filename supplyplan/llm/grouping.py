@@ -125,7 +125,7 @@ def links_in_buckets(members: DataFrame, payloads: DataFrame, verify: Callable[[
     """
     pivots = stored(_pivots(members), "pivots")
     first = stored(verify(stored(_first_pairs(members, pivots, fits), "pairs")), "links")
-    labels = components(first).withColumnRenamed("node", "rep")
+    labels = components(first, rounds=1).withColumnRenamed("node", "rep")
     more = verify(stored(_star_pairs(members, pivots, labels, fits), "pairs"))
     links = stored(first.unionByName(more), "links")
     labels = components(links).withColumnRenamed("node", "rep")
