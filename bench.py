@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR names the test-data folder, BENCH_CPUS the cores. The plan tables are derived
 from it once and stored as Parquet under a fresh folder in BENCH_WORK_DIR ("prepare"); every
-report then starts from the stored tables and is written to a sink that discards it. Each
+report then starts from the stored tables and is written to a sink that discards it (an append stores its rows). Each
 report runs once to warm up and BENCH_RUNS times (default 1) for the clock; the least counts.
 
 "comparison" is the weekly report in its direct SQL form (every row of the joined plan, a
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from supplyplan import EVERY, Tables, VarianceFilter
 from supplyplan.operators import comparison, panels, plan_edits, variance
+from supplyplan.plans.ledger import next_id
 from supplyplan.sources.derived import AS_OF, PLAN_TABLES, DerivedTables
+from supplyplan.sources.id_blocks import IdBlocks
 from supplyplan.sources.schemas import conform
-from supplyplan.sources.storage import read_tables, write_version
+from supplyplan.sources.storage import append_rows, read_tables, write_version
 
 WHOLE = VarianceFilter(planners=[None], vendors=EVERY)
 SINGLE = VarianceFilter.single("PL1B2B", 5)
@@ -94,6 +96,7 @@ def main() -> None:
     t = _store(spark, folder, root, 2 * int(cpus) if cpus.isdigit() else 16)
     prepare = time.perf_counter() - start
     batch = DerivedTables(spark, folder).revision_batch
+    ids = IdBlocks(spark, f"{root}/ids", lambda: next_id(t.adjustments, "adjustment_id"))
 
     reports = {
         "variance_week": lambda: _discard(variance.variance_by_view(t, "PLNR", "WEEK", WHOLE, AS_OF)),
@@ -103,7 +106,9 @@ def main() -> None:
         "forecast_commit_receive": lambda: _discard(panels.forecast_commit_receive(t, "CM", 5)),
         "dashboard": lambda: _dashboard(t),
         "week_comparison": lambda: [_discard(df) for df in comparison.week_comparison(t, WHOLE, AS_OF)],
-        "append_adjustments": lambda: _discard(plan_edits.append_adjustments(t.adjustments, batch, "PL1B2B", "5", AS_OF)),
+        # the new rows only, numbered from a reserved block and stored
+        "append_adjustments": lambda: append_rows(
+            plan_edits.new_adjustments(t.adjustments, batch, "PL1B2B", "5", AS_OF, ids), f"{root}/appended", "adjustments"),
     }
     plan = {n: getattr(t, n) for n in PLAN_TABLES if n != "planners"}
 
