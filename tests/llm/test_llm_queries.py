@@ -20,7 +20,7 @@ def test_query_equals_statement(name, spark, duck):
 
 def test_all_are_registered():
     names = entry_points.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark):
