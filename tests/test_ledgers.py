@@ -137,6 +137,21 @@ def test_tasks_in_a_stored_ledger(spark, tmp_path):
     assert len(set(before) - set(ledger.files())) == 1
 
 
+def test_files_are_bounded_where_keys_span_many_ranges(spark, tmp_path):
+    """Neighbouring ranges share a folder, so a ledger of many ranges has few files; keys are still found in them."""
+    ledger = StoredLedger(spark, str(tmp_path), "preferences", "user_id", width=1)
+    rows = spark.range(3000).select(F.when(F.col("id") % 500 != 7, F.col("id") * 1_000_003 - 10_000).alias("user_id"),
+                                    F.lit("n").alias("preference_name"), F.col("id").cast("string").alias("preference_value"))
+    ledger.create(rows)
+    before = ledger.files()
+    assert len(before) <= 300 and sum(f.rows for f in before) == 3000
+    batch = table(spark, "preferences", dict(user_id=5 * 1_000_003 - 10_000, preference_name="n", preference_value="x"),
+                  dict(user_id=4, preference_name="n", preference_value="y"))
+    preferences.store_preferences(ledger, batch)
+    assert len({f.path for f in before} - {f.path for f in ledger.files()}) == 1
+    assert ledger.read().count() == 3001 and ledger.read().where("user_id IS NULL").count() == 6
+
+
 # ids
 
 def test_two_writers_get_disjoint_ids(spark, tmp_path):
