@@ -86,12 +86,14 @@ class Encoder:
     def _learn(self, keys: np.ndarray, strings: list[str]) -> None:
         if len(self.keys) > CACHE_ENTRIES:
             self._clear()
-        new = [e.ids for e in self.library.encode_batch(strings, add_special_tokens=False)]
-        lens = np.array([len(x) for x in new], np.int64)
+        # as the words of one text: one answer of the library in place of one for each string
+        new = self.library.encode(strings, is_pretokenized=True, add_special_tokens=False)
+        flat = np.array(new.ids, np.uint32)
+        lens = np.bincount(np.array(new.word_ids, np.int64), minlength=len(strings)).astype(np.int64)
         at = np.searchsorted(self.keys, keys)  # both are sorted
         self.keys, self.lens = np.insert(self.keys, at, keys), np.insert(self.lens, at, lens)
         self.offs = np.insert(self.offs, at, len(self.ids) + np.cumsum(lens) - lens)
-        self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in new)])
+        self.ids = np.concatenate([self.ids, flat])
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)

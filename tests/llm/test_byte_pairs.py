@@ -116,3 +116,23 @@ def test_query(spark, library):
         ids = library.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
             len(ids), sha(" ".join(map(str, ids)).encode()), sha(texts[r.doc_id].encode()))
+
+
+def test_new_pre_tokens_go_to_the_library_in_one_call():
+    """Ids equal the library's on whole texts, and a block asks it once, whatever the number of pre-tokens."""
+    import public_tokenizers
+
+    from supplyplan.llm.tokens import Encoder
+
+    one = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library, calls = one.library, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *a, **b: calls.append(len(a[0]) if name == "encode_batch" else 1) or getattr(library, name)(*a, **b)
+
+    one.library = Counted()
+    texts = ["", " ", "it's  a\n\n test", "<|endoftext|> x", "Über-größe 12345 'll", "a" * 300, "don't don't", "—   z \t"]
+    got = [x.tolist() for x in one.encode(texts)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sum(calls) == 1
