@@ -246,6 +246,10 @@ class _BlockEncoder(Encoder):
         self.library = vocabulary
         self._clear()
 
+    def _fresh(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = [e.ids for e in self.library.encode_batch(strings)]
+        return np.array([t for ids in new for t in ids], np.uint32), np.array([len(ids) for ids in new], np.int64)
+
 
 def _runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive rows of together about `limit`; a larger row is alone."""

@@ -83,13 +83,17 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.offs, self.lens, self.ids = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint32))
 
-    def _learn(self, keys: np.ndarray, strings: list[str]) -> None:
-        if len(self.keys) > CACHE_ENTRIES:
-            self._clear()
+    def _fresh(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings, one after the other, and how many each has."""
         # as the words of one text: one answer of the library in place of one for each string
         new = self.library.encode(strings, is_pretokenized=True, add_special_tokens=False)
-        flat = np.array(new.ids, np.uint32)
         lens = np.bincount(np.array(new.word_ids, np.int64), minlength=len(strings)).astype(np.int64)
+        return np.array(new.ids, np.uint32), lens
+
+    def _learn(self, keys: np.ndarray, strings: list[str]) -> None:
+        if len(self.keys) > CACHE_ENTRIES:
+            self._clear()
+        flat, lens = self._fresh(strings)
         at = np.searchsorted(self.keys, keys)  # both are sorted
         self.keys, self.lens = np.insert(self.keys, at, keys), np.insert(self.lens, at, lens)
         self.offs = np.insert(self.offs, at, len(self.ids) + np.cumsum(lens) - lens)

@@ -136,3 +136,13 @@ def test_new_pre_tokens_go_to_the_library_in_one_call():
     got = [x.tolist() for x in one.encode(texts)]
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert sum(calls) == 1
+
+
+def test_block_encoder_learns_pieces_by_prefix_tables(vocabulary, library):
+    """The block encoder runs on the vocabulary alone, also where its cache is cleared between blocks."""
+    encoder = byte_pairs._BlockEncoder(vocabulary)
+    texts = ["", " ", "it's  a\n\n test", "<|endoftext|> x", "Über-größe 12345 'll", "a" * 300, "don't don't", "日本語 z \t"]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == library.encode_ordinary_batch(texts)
+        encoder._clear()
+    assert [x.tolist() for x in encoder.encode(["", ""])] == [[], []]
