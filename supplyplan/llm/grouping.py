@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import partitions, stored
 from .shipping import arrow_map
+from .textcodes import gather
 
 CENTRAL = 3
 #: members of a block
 BLOCK = 128
+#: pairs that are worked on at once
+PAIRS = 1 << 18
 #: (size, size) -> whether members of these sizes can be linked; of columns and of arrays
 Fits = Callable
 
@@ -86,9 +89,8 @@ def _blocks(apart: DataFrame) -> DataFrame:
         "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "n")
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], verify, fits: Fits, each: Callable | None = None) -> Iterator[pa.RecordBatch]:
-    """Links, or what `each` makes of a group, within the groups (bucket, lo, hi) of sorted rows; a group holds two blocks at most."""
-    each = each or _group_links
+def _block_links(batches: Iterator[pa.RecordBatch], verify, fits: Fits) -> Iterator[pa.RecordBatch]:
+    """Links within the groups (bucket, lo, hi) of sorted rows; a group holds two blocks at most."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
@@ -97,10 +99,10 @@ def _block_links(batches: Iterator[pa.RecordBatch], verify, fits: Fits, each: Ca
             keys = np.stack([table[k].to_numpy() for k in ("bucket", "lo", "hi")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             for a, b in zip([0, *cuts[:-1]], cuts):
-                yield from each(table.slice(a, b - a), verify, fits)
+                yield from _group_links(table.slice(a, b - a), verify, fits)
             held = table.slice(cuts[-1] if len(cuts) else 0).combine_chunks().to_batches()
     if held:
-        yield from each(pa.Table.from_batches(held), verify, fits)
+        yield from _group_links(pa.Table.from_batches(held), verify, fits)
 
 
 def _group_links(group: pa.Table, verify, fits: Fits) -> Iterator[pa.RecordBatch]:
@@ -136,36 +138,100 @@ def links_in_buckets(members: DataFrame, payloads: DataFrame, verify: Callable[[
     return stored(links.select("a", "b").unionByName(rest).distinct(), "all-links")
 
 
-def _group_counts(group: pa.Table, verify, fits: Fits) -> Iterator[pa.RecordBatch]:
-    """The number of links of each member of a group, of the pairs whose first shared bucket is the group's."""
-    rep, n, block = (group[k].to_numpy() for k in ("rep", "n", "block"))
-    bucket, lo, hi = (group[k][0].as_py() for k in ("bucket", "lo", "hi"))
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    x, y = (a.ravel() for a in np.meshgrid(left, right, indexing="ij"))
-    may = fits(n[x], n[y]) & ((x < y) | (lo != hi))
+def _group_runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive groups of together a bounded number of pairs and rows; a larger group is alone."""
+    lo, held = 0, 0
+    for k, cost in enumerate((sizes * (sizes + 32)).tolist()):
+        if k > lo and held + cost > PAIRS:
+            yield lo, k
+            lo, held = k, 0
+        held += cost
+    if len(sizes):
+        yield lo, len(sizes)
+
+
+def _share_earlier(lists: pa.ListArray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the rows x and y of each pair, of one bucket, share a bucket before it too."""
+    offs = lists.offsets.to_numpy()
+    sizes = np.diff(offs)
+    flat, width = lists.flatten().to_numpy(), int(sizes.max())
+    own = np.repeat(bucket[:, None], width, 1)
+    own[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(offs[:-1] - offs[0], sizes)] = flat
+    out = np.zeros(len(x), bool)
+    step = max(1, 8 * PAIRS // width)
+    for k in range(0, len(x), step):
+        a, b, here = own[x[k:k + step]], own[y[k:k + step]], bucket[x[k:k + step]]
+        for c in range(width):
+            out[k:k + step] |= (a[:, c] < here) & (a[:, c][:, None] == b).any(1)
+    return out
+
+
+def _least_linked(x: np.ndarray, y: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """For each row the least rep that it is linked to by the pairs (x, y), over others too."""
+    least = rep.copy()
+    while True:
+        before = least.copy()
+        np.minimum.at(least, x, before[y])
+        np.minimum.at(least, y, before[x])
+        if (least == before).all():
+            return least
+
+
+def _group_counts(table: pa.Table, verify, fits: Fits) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows of whole groups (bucket, lo, hi): the links of each member within its group, of the pairs whose
+    first shared bucket is the group's, and the least member that these links lead to."""
+    bucket, lo, hi, rep, n, block = (table[k].to_numpy() for k in ("bucket", "lo", "hi", "rep", "n", "block"))
+    opens = np.ones(len(rep), bool)
+    opens[1:] = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    ends = np.append(np.flatnonzero(opens)[1:], len(rep))[np.cumsum(opens) - 1]  # of each row's group
+    rest = ends - np.arange(len(rep)) - 1
+    x, y = np.repeat(np.arange(len(rep)), rest), gather(np.arange(len(rep)) + 1, rest)
+    may = ((lo == hi)[x] | (block[x] != block[y])) & fits(n[x], n[y])
     x, y = x[may], y[may]
     if len(x):
-        lists = group["buckets"].combine_chunks()
-        owner = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
-        buckets = lists.flatten().to_numpy()
-        earlier, column = np.unique(buckets[buckets < bucket], return_inverse=True)
-        held = np.zeros((len(rep), len(earlier)), np.float32)
-        held[owner[buckets < bucket], column] = 1
-        here = (held @ held.T)[x, y] == 0  # the pair shares no earlier bucket
-        x, y = x[here], y[here]
+        apart = ~_share_earlier(table["buckets"].combine_chunks(), bucket, x, y)
+        x, y = x[apart], y[apart]
     if len(x):
-        found = verify(group["payload"].to_pylist(), x, y)
-        counts = np.bincount(np.concatenate([x[found], y[found]]), minlength=len(rep))
+        found = verify(table["payload"].to_pylist(), x, y)
+        x, y = x[found], y[found]
+        counts = np.bincount(np.concatenate([x, y]), minlength=len(rep))
         some = counts > 0
-        yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(counts[some])], ["rep", "n_links"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rep[some]), pa.array(counts[some]), pa.array(_least_linked(x, y, rep)[some])], ["rep", "n_links", "to"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], verify, fits: Fits) -> Iterator[pa.RecordBatch]:
+    """What `_group_counts` makes of sorted rows, many small groups at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            cuts = _cuts(table)
+            yield from _counted_runs(table, cuts, verify, fits)
+            held = table.slice(cuts[-1]).combine_chunks().to_batches()
+    if held:
+        yield from _group_counts(pa.Table.from_batches(held).combine_chunks(), verify, fits)
+
+
+def _counted_runs(table: pa.Table, cuts: np.ndarray, verify, fits: Fits) -> Iterator[pa.RecordBatch]:
+    for a, b in _group_runs(np.diff(cuts)):
+        yield from _group_counts(table.slice(cuts[a], cuts[b] - cuts[a]), verify, fits)
+
+
+def _cuts(table: pa.Table) -> np.ndarray:
+    """Starts of the groups (bucket, lo, hi) of sorted rows."""
+    keys = np.stack([table[k].to_numpy() for k in ("bucket", "lo", "hi")])
+    return np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1])
 
 
-def link_counts(members: DataFrame, payloads: DataFrame, verify_block: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray],
-                fits: Fits) -> DataFrame:
-    """(rep, n_links): how many others each member (bucket, rep, n) is linked to, without loss.
+def counted_links(members: DataFrame, payloads: DataFrame, verify_block: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray],
+                  fits: Fits) -> tuple[DataFrame, DataFrame]:
+    """(counts, links): (rep, n_links), how many others each member (bucket, rep, n) is linked to, without loss, and
+    links or paths of them (a, b), which span the components.
 
-    All members of a bucket meet in blocks, two blocks a task, each pair in the least bucket that both are in; only
-    counts are emitted."""
+    All members of a bucket meet in blocks, two blocks a group, each pair in the least bucket that both are in; a group
+    emits one row for each member that has a link there."""
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = members.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
     dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")).withColumn(
@@ -173,5 +239,6 @@ def link_counts(members: DataFrame, payloads: DataFrame, verify_block: Callable[
         "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n")
     met = dealt.join(payloads, "rep").join(own, "rep").repartition(partitions(members.sparkSession), "bucket", "lo", "hi").sortWithinPartitions(
         "bucket", "lo", "hi", "rep")
-    counts = arrow_map(met, lambda it: _block_links(it, verify_block, fits, _group_counts), "rep bigint, n_links bigint")
-    return stored(counts.groupBy("rep").agg(F.sum("n_links").alias("n_links")), "link-counts")
+    found = stored(arrow_map(met, lambda it: _whole_groups(it, verify_block, fits), "rep bigint, n_links bigint, to bigint"), "group-links")
+    counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    return counts, found.filter("rep <> to").select(F.col("to").alias("a"), F.col("rep").alias("b")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .grouping import link_counts, links_in_buckets
+from .grouping import counted_links, links_in_buckets
 from .repeats import NO_ID, keyed
 from .scratch import partitions, stored
 from .shipping import arrow_map
@@ -39,17 +39,19 @@ _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
-_OTHER = np.uint64(0x5851F42D4C957F2D)
+_INK = ~_BLANK & _LINE
+#: codes of bytes for the second hash
+_OTHER = mix(np.arange(256, dtype=np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def _lines(data: np.ndarray, offs: np.ndarray):
     """Starts and ends of the lines that aren't blank, their row and their number among all lines of the row."""
     starts, ends, rows = spans(data, offs, _LINE)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(rows))
-    ink = np.concatenate([[0], np.cumsum(~_BLANK[data] & _LINE[data])])
-    feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
-    number = feeds[starts] - feeds[offs[row]]
-    full = ink[ends] > ink[starts]
+    feeds = np.flatnonzero(data == 0x0A)
+    number = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offs)[row]
+    # up to the next line there are line feeds only
+    full = np.logical_or.reduceat(_INK[data], starts) if len(starts) else np.zeros(0, bool)
     return starts[full], ends[full], row[full], number[full]
 
 
@@ -58,7 +60,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch["doc"].to_numpy()
         for lo, _, data, offs in blocks(batch["text"]):
             starts, ends, row, number = _lines(data, offs)
-            one, two = run_hash(prefix(data), starts, ends), run_hash(prefix(mix(data.astype(np.uint64) ^ _OTHER)), starts, ends)
+            one, two = run_hash(prefix(data), starts, ends), run_hash(prefix(_OTHER[data]), starts, ends)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[lo + row]), pa.array(number.astype(np.int32)), pa.array(one.view(np.int64)),
                  pa.array(two.view(np.int64)), pa.array((ends - starts).astype(np.int32))], ["doc", "line", "h1", "h2", "n"])
@@ -137,7 +139,11 @@ def _line_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if w["line"] < len(own):
                     reps.append(w["rep"])
                     out.append(own[w["line"]])
-        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(out, pa.binary())], ["rep", "bytes"])
+        reps, out = pa.array(reps, pa.int64()), pa.array(out, pa.binary())
+        # another text under the doc_id has another line there
+        same = [run_hash(prefix(data), offs[:-1], offs[1:]).view(np.int64) for _, _, data, offs in blocks(out)]
+        keep = pa.array(np.concatenate([np.zeros(0, np.int64), *same]) == reps.to_numpy())
+        yield pa.RecordBatch.from_arrays([reps.filter(keep), out.filter(keep)], ["rep", "bytes"])
 
 
 def edit_distance(a: bytes, b: bytes, threshold: int) -> int:
@@ -187,7 +193,8 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
 
 def _verify_block(lines: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> np.ndarray:
     """Which of the pairs of lines are within the threshold. An edit moves the counts of the bytes by two at most."""
-    counts = np.stack([np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in lines]).astype(np.int32)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    counts = np.bincount(owner * 256 + np.frombuffer(b"".join(lines), np.uint8), minlength=256 * len(lines)).astype(np.int32).reshape(-1, 256)
     out = np.zeros(len(left), bool)
     for k in range(0, len(left), 4096):
         a, b = left[k:k + 4096], right[k:k + 4096]
@@ -197,21 +204,31 @@ def _verify_block(lines: list[bytes], left: np.ndarray, right: np.ndarray, thres
     return out
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, counted: bool = False) -> DataFrame:
-    """Every line that isn't blank: doc, line (its number), first_doc and first_line of its class, and n_links: if
-    `counted`, how many other distinct lines are within the threshold, else null."""
+def _first_places(lines: DataFrame) -> DataFrame:
+    """The distinct lines (h1, h2, n), each with its first place, and whether it has `several`."""
+    place = F.struct("doc", "line")
+    return lines.groupBy("h1", "h2", "n").agg(F.min(place).alias("at"), F.max(place).alias("last")).select(
+        "h1", "h2", "n", "at", (F.col("at") != F.col("last")).alias("several"))
+
+
+def _classes(docs: DataFrame, threshold: int, shortest: int, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """(lines, classes): doc, line, h1, h2 and n of every line that isn't blank, and of those distinct lines that have
+    several places or are linked the class's first place `at`, and n_links."""
     spark = docs.sparkSession
     texts = keyed(docs)
     lines = stored(arrow_map(texts, _line_rows, "doc bigint, line int, h1 bigint, h2 bigint, n int"), "lines")
-    distinct = stored(lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "line")).alias("at")), "distinct-lines")
+    distinct = stored(_first_places(lines), "distinct-lines")
     rows = arrow_map(texts.select("text"), lambda it: _bucket_rows(it, threshold, shortest), "bucket bigint, rep bigint")
     dealt = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "rep")
     met = stored(arrow_map(dealt, _met, "bucket bigint, rep bigint"), "met")
-    known = distinct.groupBy(F.col("h1").alias("rep")).agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    known = stored(distinct.withColumnRenamed("h1", "rep").join(met.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(
+        F.min("n").alias("n"), F.min("at").alias("at")), "known")
     members = stored(met.join(known.select("rep", "n"), "rep").select("bucket", "rep", "n"), "members")
-    wanted = met.select("rep").distinct().join(known, "rep").groupBy(F.col("at.doc").alias("doc")).agg(
+    wanted = known.groupBy(F.col("at.doc").alias("doc")).agg(
         F.collect_list(F.struct("rep", F.col("at.line").alias("line"))).alias("wanted"))
-    store = stored(arrow_map(texts.join(wanted, "doc").select("text", "wanted"), _line_bytes, "rep bigint, bytes binary"), "line-bytes")
+    # merged whatever the size: a broadcast table of wanted lines would grow with the input
+    store = stored(arrow_map(texts.join(wanted.hint("merge"), "doc").select("text", "wanted"), _line_bytes,
+                             "rep bigint, bytes binary"), "line-bytes")
     first = store.select(F.col("rep").alias("a"), F.col("bytes").alias("x"))
     second = store.select(F.col("rep").alias("b"), F.col("bytes").alias("y"))
 
@@ -222,41 +239,49 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
     payloads = store.withColumnRenamed("bytes", "payload")
     block = lambda lines, left, right: _verify_block(lines, left, right, threshold)
     fits = lambda x, y: (x - y <= threshold) & (y - x <= threshold)
-    links = links_in_buckets(members, payloads, verify, block, fits)
-    labels = components(links).select(F.col("node").alias("h1"), "label")
-    classed = distinct.join(labels, "h1", "left")
-    if counted:
-        counts = link_counts(members, payloads.dropDuplicates(["rep"]), block, fits).withColumnRenamed("rep", "h1")
-        classed = classed.join(counts, "h1", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    if counted:  # all pairs meet for the counts, which gives the links too
+        counts, links = counted_links(members, payloads.dropDuplicates(["rep"]), block, fits)
+        labels = components(links).join(counts.withColumnRenamed("rep", "node"), "node")
     else:
-        classed = classed.withColumn("n_links", F.lit(None).cast("bigint"))
-    classed = stored(classed, "classed-lines")
-    # an unlinked line is a class by both hashes; those lines have no label to meet by, and stay out of the join
-    linked = classed.filter("label IS NOT NULL")
+        labels = components(links_in_buckets(members, payloads, verify, block, fits)).withColumn("n_links", F.lit(None).cast("bigint"))
+    labels = labels.withColumnRenamed("node", "h1")
+    linked = stored(distinct.join(labels, "h1").select("h1", "h2", "n", "at", "label", "n_links"), "linked-lines")
     firsts = linked.groupBy("label").agg(F.min("at").alias("class_at"))
-    resolved = linked.join(firsts, "label").select("h1", "h2", "n", F.col("class_at").alias("at"), "n_links").unionByName(
-        classed.filter("label IS NULL").select("h1", "h2", "n", "at", "n_links"))
-    return lines.join(resolved, ["h1", "h2", "n"]).select(
-        "doc", "line", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"), "n_links")
+    # an unlinked line is a class by both hashes
+    copies = distinct.filter("several").join(linked.select("h1").distinct(), "h1", "left_anti").select(
+        "h1", "h2", "n", "at", F.lit(0 if counted else None).cast("bigint").alias("n_links"))
+    return lines, linked.join(firsts, "label").select("h1", "h2", "n", F.col("class_at").alias("at"), "n_links").unionByName(copies)
+
+
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, counted: bool = False) -> DataFrame:
+    """Every line that isn't blank: doc, line (its number), first_doc and first_line of its class, and n_links: if
+    `counted`, how many other distinct lines are within the threshold, else null."""
+    lines, classes = _classes(docs, threshold, shortest, counted)
+    return lines.join(classes, ["h1", "h2", "n"], "left").select(
+        "doc", "line", F.coalesce("at.doc", "doc").alias("first_doc"), F.coalesce("at.line", "line").alias("first_line"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links") if counted else "n_links")
 
 
 def linked_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """doc, n_lines, `removed` as below, and `linked`: of the lines within the threshold of others, the first of the
     class and the number of other distinct lines that each is linked to."""
-    return _by_document(line_classes(docs, threshold, shortest, counted=True))
+    return _by_document(*_classes(docs, threshold, shortest, counted=True))
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """doc, n_lines, and `removed`: the lines that aren't the first of their class, with the first."""
-    return _by_document(line_classes(docs, threshold, shortest)).drop("linked")
+    return _by_document(*_classes(docs, threshold, shortest, counted=False)).drop("linked")
 
 
-def _by_document(lines: DataFrame) -> DataFrame:
+def _by_document(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    places = lines.join(classes, ["h1", "h2", "n"]).select(
+        "doc", "line", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"), "n_links")
     again = (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))
-    return lines.groupBy("doc").agg(
-        F.countDistinct("line").alias("n_lines"),
+    found = places.filter(again | (F.col("n_links") > 0)).groupBy("doc").agg(
         F.array_sort(F.collect_set(F.when(again, F.struct("line", "first_doc", "first_line")))).alias("removed"),
         F.array_sort(F.collect_set(F.when(F.col("n_links") > 0, F.struct("line", "first_doc", "first_line", "n_links")))).alias("linked"))
+    return lines.groupBy("doc").agg(F.countDistinct("line").alias("n_lines")).join(found, "doc", "left").select(
+        "doc", "n_lines", *(F.coalesce(c, F.expr("array()")).alias(c) for c in ("removed", "linked")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
